@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strandline.llm import quality, secret_scan
 from strandline.llm.neardup import SketchSettings, near_duplicates
+from strandline.llm.ngram import score_texts
+from strandline.llm.packing import pack
 from strandline.runtime import table
 
 
@@ -13,5 +17,35 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), SketchSettings(words=2))
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
-ORACLES: dict[str, str] = {}
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base kinds, a digest of their spans, and all spans."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in base], F.sha2(shown(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens."""
+    return pack(spark, table(spark, sf_dir, "documents"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base scores and bigram scores of all texts."""
+    return score_texts(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of every text and the cascade's verdict."""
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_secret_scan": op2_secret_scan,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op10_quality_rules": op10_quality_rules,
+}
+ORACLES: dict[str, str] = {"op2_secret_scan": secret_scan.scan_sql(), "op10_quality_rules": quality.REPORT_SQL}
