@@ -50,6 +50,18 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def split(self, name: str, df: DataFrame, by: str, values: list) -> list[DataFrame]:
+        """One table for each of ``values`` of column ``by``, each to be dropped alone as ``name/by=value``."""
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").partitionBy(by).parquet(path)
+        schema = df.drop(by).schema
+        empty = df.sparkSession.createDataFrame([], schema)
+        out = []
+        for v in values:
+            empty.write.mode("append").parquet(f"{path}/{by}={v}")
+            out.append(self.spark.read.schema(schema).parquet(f"{path}/{by}={v}"))
+        return out
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._clear(f"{self.root}/{name}")
