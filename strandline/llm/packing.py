@@ -6,7 +6,8 @@ Pieces of one length are interchangeable, so a packing is a list of patterns
 There, sequences are completed around the largest length that is left: the
 undominated fillings of the remaining room are enumerated depth first, largest
 length first, and cut where the waste cannot fall below the best found so far.
-The incumbent is the best-fit filling.  Each pattern is repeated as often as its
+The incumbent is the best-fit filling, and best-fit decreasing is the first of
+the packings.  Each pattern is repeated as often as its
 lengths allow, and pieces find their places by their rank within their length,
 which is a distributed numbering.
 """
@@ -14,7 +15,9 @@ which is a distributed numbering.
 from __future__ import annotations
 
 import base64
+import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +33,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Fillings looked at around one length before its best-fit incumbent is taken.
 SEARCH_NODES = 2_000
+#: Pieces looked ahead in the completions that are tried, and the wastes beyond which a sequence is taken apart.
+LOOKAHEAD, WASTES = (3, 1, 2, 4), (0, 1, 2, 4, 8, 16, 32, 64)
 Pattern = tuple[tuple[int, int], ...]
 
 
@@ -72,68 +77,95 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end
     return plain.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def best_filling(room: int, lengths: list[int], counts: dict[int, int], nodes: int = SEARCH_NODES) -> list[tuple[int, int]]:
-    """The fullest filling of ``room``: (length, how many), the largest lengths first among equals.
+def best_filling(room: int, lengths: list[int], counts: dict[int, int], most: int, nodes: int = SEARCH_NODES) -> list[int]:
+    """The fullest filling of ``room`` with at most ``most`` pieces, as lengths in falling order.
 
-    Depth first over lengths in falling order; best fit comes first and is the
-    incumbent.  A branch ends when even filling up cannot beat the incumbent:
-    its waste is bounded below by the room left modulo what the smallest length
-    can still close.  Taking a longer length where a shorter one would do
-    dominates it, which the order of the search respects.
+    Depth first, the largest length that fits first, so the best-fit filling is
+    the first incumbent and a filling is met before those it dominates (with a
+    piece swapped for smaller ones of the same sum).  A branch ends when its waste
+    is bounded below by the incumbent's: the pieces it may still take, each at most
+    as long as the last, cannot fill the room that is left any better.
     """
-    best: list[tuple[int, int]] = []
+    best: list[int] = []
     waste, seen = room, 0
-    smallest = lengths[-1] if lengths else room + 1
+    low = [-x for x in lengths]  # rising, for bisection
 
-    def search(i: int, left: int, chosen: list[tuple[int, int]]) -> None:
+    def search(begin: int, left: int, chosen: list[int]) -> None:
         nonlocal best, waste, seen
         if left < waste:
             best, waste = list(chosen), left
-        while i < len(lengths) and lengths[i] > left:
-            i += 1
-        if waste == 0 or i == len(lengths) or left < smallest:
-            return
-        for k in range(i, len(lengths)):
-            seen += 1
-            if waste == 0 or seen > nodes:
+        for k in range(max(begin, bisect.bisect_left(low, -left)), len(lengths)):
+            if waste == 0 or len(chosen) == most or left - (most - len(chosen)) * lengths[k] >= waste:
                 return
-            size = lengths[k]
-            most = min(counts[size], left // size)
-            if most == 0:
+            if counts[lengths[k]] <= chosen.count(lengths[k]):
                 continue
-            for n in range(most, 0, -1):
-                chosen.append((size, n))
-                search(k + 1, left - n * size, chosen)
-                chosen.pop()
-                if waste == 0 or seen > nodes:
-                    return
+            seen += 1
+            if seen > nodes:
+                return
+            chosen.append(lengths[k])
+            search(k, left - lengths[k], chosen)
+            chosen.pop()
 
     search(0, room, [])
     return best
 
 
-def complete(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Patterns with multiplicities that use every piece of ``histogram`` once."""
+def completed(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[Pattern, int]]:
+    """Patterns with multiplicities that use every piece once; each step of a completion looks ``most`` pieces ahead.
+
+    One piece ahead is best-fit decreasing; more pieces ahead fill tighter but use
+    up small pieces sooner.
+    """
     counts = {k: int(v) for k, v in histogram.items() if v}
+    lengths = sorted(counts, reverse=True)
     plan: list[tuple[Pattern, int]] = []
-    while counts:
-        largest = max(counts)
-        counts[largest] -= 1
-        lengths = sorted((k for k, v in counts.items() if v and k <= capacity - largest), reverse=True)
-        filling = best_filling(capacity - largest, lengths, counts)
-        counts[largest] += 1
-        need: dict[int, int] = {largest: 1}
-        for size, n in filling:
-            need[size] = need.get(size, 0) + n
+    while lengths:
+        need = {lengths[0]: 1}
+        left = capacity - lengths[0]
+        while True:
+            free = {k: counts[k] - need.get(k, 0) for k in lengths[bisect.bisect_left(lengths, -left, key=lambda x: -x) :]}
+            usable = [k for k, v in free.items() if v]
+            filling = best_filling(left, usable, free, most) if usable else []
+            if not filling:
+                break
+            for k in filling:
+                need[k] = need.get(k, 0) + 1
+                left -= k
         times = min(counts[k] // n for k, n in need.items())
         plan.append((tuple(sorted(need.items(), reverse=True)), times))
         for k, n in need.items():
             counts[k] -= n * times
-            if not counts[k]:
-                del counts[k]
+        lengths = [k for k in lengths if counts[k]]
     return plan
 
 
+def complete(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """Best-fit decreasing, improved by completing its loose sequences anew.
+
+    Sequences whose waste exceeds a bound are taken apart and completed again, with
+    each lookahead and bound in turn, as long as that saves a sequence.  The lower
+    bound (all tokens in full sequences) ends the search.
+    """
+    size = lambda plan: sum(t for _, t in plan)
+    bound = -(-sum(k * int(v) for k, v in histogram.items()) // capacity)
+    best = completed(histogram, capacity, 1)
+    before = size(best) + 1
+    while bound < size(best) < before:
+        before = size(best)
+        for most in LOOKAHEAD:
+            for waste in WASTES:
+                tight, loose = [], Counter()
+                for pattern, times in best:
+                    if capacity - sum(k * n for k, n in pattern) <= waste:
+                        tight.append((pattern, times))
+                    else:
+                        loose.update({k: n * times for k, n in pattern})
+                again = tight + completed(loose, capacity, most)
+                if size(again) < size(best):
+                    best = again
+    return best
+
+
 def slots(plan: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, uses of the length in the pattern, first sequence, offset): one row for each length of each pattern."""
     taken: dict[int, int] = {}

@@ -165,7 +165,7 @@ def quality_report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 REPORT_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
 win as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as k
         from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
 rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, k) as n from win) where n > 1),

@@ -273,27 +273,25 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[SecretR
     return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
-def _kind_sql(rule: SecretRule) -> str:
+def _kind_sql(rule: SecretRule, k: int) -> str:
+    """Matches in order, and what lies between them; a match starts after all that comes before it."""
     pattern = ("(?i)" if rule.folded else "") + rule.pattern.replace("'", "''")
-    if rule.group:  # the match is long enough exactly if the group is
-        test = f"length(regexp_extract(x, '{pattern}', {rule.group})) >= {rule.least}"
-    else:
-        test = f"length(x) >= {rule.least}"
-    return (
-        f"select doc_id, '{rule.kind}' as kind, {{k}} as k, unnest(list_filter(list_transform(m, (x, i) -> {{{{'x': x, 's': list_sum([0] || list_transform(p[1:i], y -> length(y))) "
-        f"+ list_sum([0] || list_transform(m[1:i - 1], y -> length(y)))}}}}), z -> (with_x(z)))) as z from (select doc_id, regexp_extract_all(t, '{pattern}') as m, "
-        f"regexp_split_to_array(t, '{pattern}') as p from d)"
-    ).replace("with_x(z)", test.replace("(x,", "(z.x,").replace("(x)", "(z.x)"))
+    tested = f"length(regexp_extract(x, '{pattern}', {rule.group}))" if rule.group else "length(x)"
+    return f"""
+select doc_id, '{rule.kind}' as kind, {k} as k, s, s + length(x) as e from (
+  select doc_id, m[i] as x, list_sum([0] || list_transform(p[1:i], lambda y: length(y))) + list_sum([0] || list_transform(m[1:i - 1], lambda y: length(y))) as s
+  from (select *, unnest(range(1, len(m) + 1)) as i from (select doc_id, regexp_extract_all(t, '{pattern}') as m, regexp_split_to_array(t, '{pattern}') as p from d)))
+where {tested} >= {rule.least}"""
 
 
 def scan_sql(rules: tuple[SecretRule, ...] = RULES) -> str:
     """DuckDB SQL for the query over ``documents``."""
-    parts = " union all ".join(_kind_sql(r).format(k=k) for k, r in enumerate(rules))
+    parts = " union all ".join(_kind_sql(r, k) for k, r in enumerate(rules))
     n = len(BASE_RULES)
     joined = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, k){f}, '')"
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
-f as (select doc_id, kind, k, z.s::bigint as s, (z.s + length(z.x))::bigint as e from ({parts})),
+f as (select doc_id, kind, k, s::bigint as s, e::bigint as e from ({parts})),
 g as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
              {joined.format(f=f" filter (k < {n})")} as base, {joined.format(f="")} as spans from f group by doc_id)
 select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
