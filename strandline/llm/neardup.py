@@ -8,11 +8,17 @@ with a probability close to the Jaccard similarity J (base b = 1.001).
 
 1. Documents with equal sets form a class; one representative goes on.
 2. Bands of registers are hashed; documents that share a band are a bucket.
-3. In each bucket, every member is compared with the smallest member (a star, so
-   the work is linear in the bucket), then components are formed, and only members
-   of a bucket that still lie in different components are compared with each other.
-   No pair that shares a bucket stays undecided.
-4. A pair goes on if the likelihood of J given both sketches and both set sizes
+3. The hub of a bucket is its most central member (the one with the most company over
+   all its buckets).  Every document is compared with the most central hub it meets and
+   components are formed; then with the hubs of its buckets that lie in other components;
+   then with the most central member outside the hub's component.  Each round is a star,
+   so its work is linear in the bucket.
+4. Documents in buckets that still hold several components are joined exactly, by the
+   rare ends of their sets (prefix filter): two sets that share k shingles share one of
+   the ``n - k + 1`` shingles of either that come first in the order of frequency, and
+   the threshold and the two sizes give the least k.  Only pairs in different components are made.  So no pair of a bucket stays undecided,
+   and a large group of near copies never becomes all its pairs.
+5. A pair goes on if the likelihood of J given both sketches and both set sizes
    does not rule out the threshold; what is left is verified on the full sets.
 
 A pair at J = 0.8 exactly shares no band with a probability of
@@ -163,9 +169,9 @@ def full_sets(docs: DataFrame, s: SketchSettings) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, s: SketchSettings) -> DataFrame:
+def _likely(pairs: DataFrame, parts: DataFrame, s: SketchSettings) -> DataFrame:
     """The pairs (a, b) that the joint likelihood does not rule out."""
-    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
+    side = lambda x: parts.select(F.col("doc_id").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     both = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * s.percent)
 
@@ -182,18 +188,36 @@ def _likely(pairs: DataFrame, reps: DataFrame, s: SketchSettings) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, s: SketchSettings, scratch: Scratch, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, parts: DataFrame, s: SketchSettings) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold."""
-    pairs = scratch.put(f"{name}-likely", pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    sets = scratch.put(f"{name}-sets", full_sets(texts, s).dropDuplicates(["doc_id"]))
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
+    side = lambda x: parts.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
-    out = scratch.put(f"{name}-links", both.filter(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * s.percent).select("a", "b"))
-    scratch.drop(f"{name}-likely", f"{name}-sets")
-    return out
+    return both.filter(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * s.percent).select("a", "b")
+
+
+def _prefix_pairs(left: DataFrame, parts: DataFrame, s: SketchSettings, scratch: Scratch) -> DataFrame:
+    """Pairs of (doc_id, component) in different components that share a shingle of their prefixes."""
+    sets = left.join(parts.select("doc_id", "n_shingles", "shingles"), "doc_id").select("doc_id", "component", F.col("n_shingles").alias("n"), F.explode("shingles").alias("g"))
+    sets = scratch.put("prefix-sets", sets)
+    common = scratch.put("prefix-df", sets.groupBy("g").count().filter("count > 1"))
+    # A shingle of one document comes first in the order and never meets another: only its number counts.
+    ranked = sets.join(common, "g").groupBy("doc_id").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("count", "g"))).alias("order"))
+    lone = F.col("n") - F.size("order")
+    length = F.col("n") - F.ceil(F.col("n") * s.percent / 100) + 1 - lone
+    cut = F.transform(F.slice("order", F.lit(1), length.cast("int")), lambda x, i: F.struct(x["g"].alias("g"), (lone + i + 1).alias("place")))
+    keys = scratch.put("prefix-keys", ranked.filter(length > 0).select("doc_id", "component", "n", F.explode(cut).alias("x")).select("doc_id", "component", "n", "x.g", "x.place"))
+    # Most rows of a frequent shingle lie in one component: the others are paired with all rows, not all with all.
+    most = keys.groupBy("g", "component").count().groupBy("g").agg(F.max(F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
+    most = most.filter("components > 1").select(F.col("g").alias("key"), F.col("top.component").alias("main"))
+    keys = scratch.put("prefix-several", keys.join(most, F.col("g") == F.col("key")).select("g", "doc_id", "component", "n", "place", (F.col("component") != F.col("main")).alias("minor")))
+    a, b = (keys.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "n", "place", "minor")]) for x in "ab")
+    apart = (F.col("component_a") != F.col("component_b")) & (~F.col("minor_b") | (F.col("component_a") < F.col("component_b")))
+    # Sets that meet the threshold share so many shingles, and so one within the first n - needed + 1 of each.
+    needed = F.ceil((F.col("n_a") + F.col("n_b")) * s.percent / (100 + s.percent))
+    early = (F.col("place_a") <= F.col("n_a") - needed + 1) & (F.col("place_b") <= F.col("n_b") - needed + 1)
+    met = a.filter("minor_a").join(b, "g").filter(apart & early)
+    return met.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, settings: SketchSettings = SketchSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,37 +228,62 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, settings: SketchSettin
     with nothing.  Rows that repeat a doc_id get one row each, with the same
     component if their texts are equal.  A null doc_id is linked with nothing and
     kept.  An empty table gives an empty result.  Long texts are handled whole.
+
+    The joins of tables that grow with the corpus ask for a sort-merge join, so
+    that a small input runs the plan of a large one.
     """
     s, scratch = settings, Scratch(spark, "neardup")
     found = scratch.put("sketches", sketches(docs, id_col, text_col, s))
     usable = found.filter("n_shingles > 0 and doc_id is not null")
     classes = scratch.put("classes", usable.groupBy("set_id").agg(F.min("doc_id").alias("rep")))
-    first = classes.select(F.col("rep").alias("doc_id"), F.col("set_id"))
-    reps = scratch.put("reps", usable.join(first, ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id", "set_id"]).dropDuplicates(["doc_id"]))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    first = classes.select(F.col("rep").alias("doc_id"), "set_id")
+    reps = usable.select("doc_id", "set_id", "bands").join(first.hint("merge"), ["doc_id", "set_id"], "left_semi")
 
     rows = reps.select("doc_id", F.explode("bands").alias("band"))
-    hubs = rows.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("band").bitwiseXOR(F.lit(1)).alias("key"), "hub")
-    members = scratch.put("members", rows.join(hubs, F.col("band") == F.col("key").bitwiseXOR(F.lit(1))).select("band", "hub", "doc_id"))
-    pairs = members.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verified(_likely(pairs, reps, s), texts, s, scratch, "star")
-    parts = smallest_reachable(scratch, links, "cc1")
-
-    owned = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "hub", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    owned = scratch.put("owned", owned)
-    mixed = owned.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and n > 2").select("band")
-    left = scratch.put("left", owned.join(mixed, "band", "left_semi").filter("doc_id <> hub"))
-    a = left.select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    b = left.select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    rest = a.join(b, "band").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(_likely(rest, reps, s), texts, s, scratch, "rest")
-    whole = links if more.isEmpty() else links.union(more)
-    if whole is not links:
-        parts = smallest_reachable(scratch, whole, "cc2")
-    scratch.drop("members", "owned", "left")
-
-    named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_id"), F.coalesce("component", "rep").alias("component"))
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("band").bitwiseXOR(F.lit(1)).alias("key"), "n")
+    members = scratch.put("members", rows.join(shared.hint("merge"), F.col("band") == F.col("key").bitwiseXOR(F.lit(1))).select("band", "n", "doc_id").distinct())
+    weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    members = scratch.put("weighed", members.join(weight, "doc_id"))
+    ids = scratch.put("ids", weight.select("doc_id"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "doc_id", "left_semi")
+    drawn = found.select("doc_id", "n_shingles", "registers").join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    parts = scratch.put("parts", drawn.join(full_sets(texts, s).dropDuplicates(["doc_id"]), "doc_id"))
+    scratch.drop("members")
+
+    central = F.max(F.struct("weight", (-F.col("doc_id")).alias("least")))
+    hubs = members.groupBy("band").agg(central.alias("x")).select("band", (-F.col("x.least")).alias("hub"), F.col("x.weight").alias("hub_weight"))
+    component = scratch.put("starred", members.join(hubs, "band"))
+    # First each document with the most central hub it meets, then with the hubs of its other buckets that are still apart.
+    nearest = component.groupBy("doc_id").agg(F.max(F.struct("hub_weight", (-F.col("hub")).alias("least"))).alias("x"))
+    pairs = nearest.select((-F.col("x.least")).alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
+    component = component.select("band", "n", "doc_id", "weight", "hub")
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    for k in (1, 2, 3):
+        likely = scratch.put(f"likely-{k}", _likely(pairs, parts, s))
+        links = scratch.put(f"links-{k}", links.union(_verified(likely, parts, s)).distinct())
+        linked = smallest_reachable(scratch, links, f"cc-{k}")
+        own = linked.select(F.col("node").alias("doc_id"), "component")
+        held = component.drop("component", "owner").join(own, "doc_id", "left").join(linked.select(F.col("node").alias("hub"), F.col("component").alias("owner")), "hub", "left")
+        held = held.withColumns({"component": F.coalesce("component", "doc_id"), "owner": F.coalesce("owner", "hub")})
+        held = scratch.put(f"held-{k}", held.select("band", "n", "doc_id", "weight", "hub", "component", "owner"))
+        mixed = held.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
+        component = scratch.put(f"mixed-{k}", held.filter(F.col("n") > k).join(mixed, "band", "left_semi"))
+        scratch.drop(f"held-{k}", f"likely-{k}")
+        if k == 1:
+            pairs = component.filter("component <> owner").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+        elif k == 2:
+            second = component.filter("component <> owner").groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("least"), "component")).alias("x"))
+            second = second.select("band", (-F.col("x.least")).alias("a"), F.col("x.component").alias("ca"))
+            pairs = component.join(second, "band").filter("component <> ca and doc_id <> hub").select("a", F.col("doc_id").alias("b")).distinct()
+
+    left = component.select("doc_id", "component").distinct()
+    rest = scratch.put("likely-rest", _likely(_prefix_pairs(left, parts, s, scratch), parts, s))
+    more = scratch.put("links-rest", _verified(rest, parts, s))
+    if not more.isEmpty():
+        linked = smallest_reachable(scratch, links.union(more), "cc-rest")
+
+    named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     named = scratch.put("named", named)
-    out = found.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = found.select("doc_id", "n_shingles", "set_id").join(named.hint("merge"), "set_id", "left")
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), component_id.eqNullSafe(F.col("doc_id")).alias("kept"))
