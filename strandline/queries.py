@@ -626,7 +626,7 @@ def search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Streams ----------------------------------------------------------------------------------------------------------------
 
-_FILE_EVENTS = "fe as (select event_id // 1000 as seq, 'u' || user_id as file, case when event_type = 'error' then 'remove' else 'update' end as kind, event_id as at from events)"
+_FILE_EVENTS = "fe as (select event_id // 1000 as seq, 'u' || user_id as file, case when event_type = 'error' then 'remove' else 'update' end as kind, event_id as pos from events)"
 
 
 def _file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -634,19 +634,19 @@ def _file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).cast("bigint").alias("seq"), F.concat(F.lit("u"), "user_id").alias("file"), kind.alias("kind"), F.col("event_id").alias("at"))
 
 
-@query("changed_since", f"with {_FILE_EVENTS} select file, arg_max(kind, at) as kind from fe where seq > 4 group by 1")
+@query("changed_since", f"with {_FILE_EVENTS} select file, arg_max(kind, pos) as kind from fe where seq > 4 group by 1")
 def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.changed_since(_file_events(spark, sf_dir), 4)
 
 
-@query("journal", f"""with {_FILE_EVENTS}, l as (select seq, file, arg_max(kind, at) as kind from fe group by 1, 2)
+@query("journal", f"""with {_FILE_EVENTS}, l as (select seq, file, arg_max(kind, pos) as kind from fe group by 1, 2)
 select seq, coalesce(list_sort(list(file) filter (kind <> 'remove')), []) as updated, coalesce(list_sort(list(file) filter (kind = 'remove')), []) as removed from l group by 1""")
 def journal_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.journal_of(_file_events(spark, sf_dir))
 
 
-@query("journal_replay", f"""with {_FILE_EVENTS}, g as (select file, max(at) filter (kind = 'remove') as gone, max(at) as last from fe group by 1)
-select fe.file, count(*) as version from fe join g on g.file = fe.file where at > coalesce(gone, -1) group by 1""")
+@query("journal_replay", f"""with {_FILE_EVENTS}, g as (select file, max(pos) filter (kind = 'remove') as gone, max(pos) as last from fe group by 1)
+select fe.file, count(*) as version from fe join g on g.file = fe.file where pos > coalesce(gone, -1) group by 1""")
 def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.replayed(_file_events(spark, sf_dir))
 

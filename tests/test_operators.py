@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,12 +22,14 @@ def plain(v):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return [plain(x) for x in v]
-    return round(v, 6) if isinstance(v, float) else v
+    if v is None or pd.isna(v):
+        return None
+    return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(repr([None if x is None or x != x else plain(x) for x in r]) if not any(hasattr(x, "__len__") for x in r) else repr([plain(x) for x in r]) for r in frame.itertuples(index=False, name=None))
+    return sorted(repr([plain(x) for x in r]) for r in frame.itertuples(index=False, name=None))
 
 
 @pytest.fixture(scope="module")
