@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample that the order of the rules is estimated on (smallest hashes of the id).
+#: Rows, about, of the sample that the order of the rules is estimated on (least hashes of id and text).
 SAMPLE_ROWS = 512
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -41,19 +41,29 @@ def _symbols(text: Column) -> Column:
     return count.cast("bigint")
 
 
+def _shifted(array: Column, by: int, size: Column) -> Column:
+    return F.slice(array, F.lit(by + 1), F.greatest(size, F.lit(0)))
+
+
 def _windows(hashes: str) -> Column:
-    """A hash for each window of WINDOW words."""
+    """A hash for each window of WINDOW words: of two words, of two such pairs, and of those with the fifth.
+
+    Lambdas see their own arguments only: an array of the row inside one could be made anew for each element.
+    """
     h = F.col(hashes)
-    n = F.size(h) - (WINDOW - 1)
-    return F.when(n > 0, F.transform(F.slice(h, F.lit(1), F.greatest(n, F.lit(1))), lambda x, i: F.xxhash64(x, *[h[i + k] for k in range(1, WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    n = F.size(h)
+    two = F.zip_with(_shifted(h, 0, n - 1), _shifted(h, 1, n - 1), lambda x, y: F.xxhash64(x, y))
+    four = F.zip_with(_shifted(two, 0, n - 3), _shifted(two, 2, n - 3), lambda x, y: F.xxhash64(x, y))
+    five = F.zip_with(_shifted(four, 0, n - 4), _shifted(h, 4, n - 4), lambda x, y: F.xxhash64(x, y))
+    return F.when(n >= WINDOW, five).otherwise(F.array().cast("array<bigint>"))
 
 
 def _covered(order: str) -> Column:
     """Words in windows found twice or more; ``order`` has the windows as (hash, place), sorted."""
     o = F.col(order)
-    last = F.size(o) - 1
-    twice = F.filter(o, lambda s, k: ((k > 0) & (o[F.greatest(k - 1, F.lit(0))]["h"] == s["h"])) | ((k < last) & (o[F.least(k + 1, last)]["h"] == s["h"])))
-    places = F.array_sort(F.transform(twice, lambda s: s["i"]))
+    less = F.size(o) - 1
+    twice = F.zip_with(_shifted(o, 0, less), _shifted(o, 1, less), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
+    places = F.array_sort(F.array_distinct(F.flatten(F.filter(twice, lambda x: x.isNotNull()))))
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("bigint").alias("total"))
     return F.aggregate(places, start, lambda a, p: F.struct(p.alias("last"), (a["total"] + F.least(F.lit(WINDOW), p - a["last"])).alias("total")), lambda a: a["total"])
 
@@ -123,8 +133,10 @@ def derive(docs: DataFrame, text_col: str, names: list[str], have: set[str] | No
 
 
 def ordered_rules(docs: DataFrame, text_col: str, id_col: str = "doc_id", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per cost, estimated on ``rows`` rows with the least hashes of the id."""
-    sample = docs.select(F.col(text_col).alias("_t"), F.xxhash64(F.col(id_col)).alias("_k")).orderBy("_k").limit(rows).select("_t")
+    """The rules by rejections per cost, estimated on about ``rows`` rows, those with the least hashes of id and text."""
+    share = min(1.0, rows / max(1, docs.count()))
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40))
+    sample = docs.filter(place < int(share * (1 << 40))).select(F.col(text_col).alias("_t"))
     names = sorted({n for r in rules for n in r.needs} | {"_text", "n_words", "_lines"})
     found = derive(sample, "_t", names).agg(
         *[F.avg(F.expr(f"cast({r.rejects} as double)")).alias(r.name) for r in rules],
@@ -145,8 +157,10 @@ def good_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """
     names = docs.columns
     kept, have = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").alias("_t")), set()
-    for rule in ordered_rules(docs, text_col, id_col, rules):
-        kept = derive(kept, "_t", list(rule.needs), have).filter(~F.expr(rule.rejects))
+    for k, rule in enumerate(ordered_rules(docs, text_col, id_col, rules)):
+        # A filter does not move below a column that is not deterministic: what a rule needs is made once, and only for texts that are left.
+        wall = f"_wall{k}"
+        kept = derive(kept, "_t", list(rule.needs), have).withColumn(wall, F.monotonically_increasing_id()).filter(~F.expr(rule.rejects) & (F.col(wall) >= 0))
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 
