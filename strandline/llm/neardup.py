@@ -287,3 +287,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, settings: SketchSettin
     out = found.select("doc_id", "n_shingles", "set_id").join(named.hint("merge"), "set_id", "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), component_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def all_pairs_sql(words: int, percent: int) -> str:
+    """DuckDB SQL for the same rows by comparing all pairs that share a shingle; for small tables."""
+    grams = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, {grams} as g from (select doc_id, w, unnest(range(1, len(w) - {words - 2})) as i from d where len(w) >= {words})
+      union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and {words - 1}),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= {percent} * (x.n + y.n - k)),
+e as (select a, b from l union select b, a from l),
+walk as (select distinct a as node, a as c from e union select b, c from walk join e on a = node),
+comp as (select node, min(c) as c from walk group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(comp.c, d.doc_id) as component_id, coalesce(comp.c, d.doc_id) = d.doc_id as kept
+from d left join n on n.doc_id = d.doc_id left join comp on comp.node = d.doc_id
+"""

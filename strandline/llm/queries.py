@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from strandline.llm import jpegmedia, langid, pieces, pseudonyms, quality, secret_scan
 from strandline.llm.linededup import without_recurring_lines
-from strandline.llm.neardup import SketchSettings, near_duplicates
+from strandline.llm.neardup import SketchSettings, all_pairs_sql, near_duplicates
 from strandline.llm.ngram import score_texts
 from strandline.llm.packing import pack
 from strandline.runtime import table
@@ -91,4 +91,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op2_secret_scan": secret_scan.scan_sql(), "op10_quality_rules": quality.REPORT_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": all_pairs_sql(2, 80), "op2_secret_scan": secret_scan.scan_sql(), "op10_quality_rules": quality.REPORT_SQL}

@@ -379,6 +379,69 @@ def test_feistel_is_a_permutation(spark):
         assert sorted(r.x for r in out.collect()) == list(range(a * b))
 
 
+def brute_permuted(value, left, right, kind, key="k"):
+    a, b = divmod(value, right)
+    for r in range(pseudonyms.ROUNDS):
+        moved = int(hashlib.sha256("|".join(map(str, (key, kind, left, right, r, a if r % 2 else b))).encode()).hexdigest()[:15], 16)
+        if r % 2:
+            b = (b + moved % right) % right
+        else:
+            a = (a + moved % left) % left
+    return a * right + b
+
+
+def brute_digits(digits, kind):
+    n = len(digits)
+    return str(brute_permuted(int(digits), 10 ** (n // 2), 10 ** (n - n // 2), kind)).zfill(n)
+
+
+def brute_pseudonym(m):
+    import datetime
+
+    whole = lambda p: re.fullmatch(p.replace(r"\d", "[0-9]"), m)
+    digits = re.sub("[^0-9]", "", m)
+
+    def filled(new):
+        new = iter(new)
+        return "".join(next(new) if c.isdigit() else c for c in m)
+
+    if "@" in m:
+        return "u" + hashlib.sha256(f"k|email|{m.lower()}".encode()).hexdigest()[:12] + "@example.invalid"
+    if whole(pseudonyms.IPV4):
+        octets = [int(x) for x in m.split(".")]
+        if max(octets) > 255:
+            return m
+        x = brute_permuted(sum(o << s for o, s in zip(octets, (24, 16, 8, 0), strict=True)), 65536, 65536, "ipv4")
+        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+    if whole(pseudonyms.DATE):
+        form = "%d.%m.%Y" if m[2] == "." else "%Y-%m-%d"
+        try:
+            day = (datetime.datetime.strptime(m, form) - datetime.datetime(1900, 1, 1)).days
+        except ValueError:
+            return m
+        if not 0 <= day < 73_049:
+            return m
+        return (datetime.datetime(1900, 1, 1) + datetime.timedelta(brute_permuted(day, 17, 4297, "date"))).strftime(form)
+    if whole(pseudonyms.SSN):
+        bad = m[:3] in ("000", "666") or m[:3] >= "900" or m[4:6] == "00" or m[7:] == "0000"
+        return m if bad else filled(brute_digits(digits, "ssn"))
+    if whole(pseudonyms.PHONE):
+        return filled(digits[:-10] + brute_digits(digits[-10:], "phone"))
+    if not luhn(digits):
+        return m
+    body = brute_digits(digits[:-1], "card")
+    return filled(body + next(c for c in "0123456789" if luhn(body + c)))
+
+
+def test_pseudonyms_equal_plain_replacing(spark, docs, texts):
+    more = {90_001: "a 1999-12-31 31.12.1999 2024-02-29 123-45-6789 x@y.zz 4111 1111 1111 1111, 1.2.3.4.", 90_002: "+49 (030) 555-0199 1.1.1.300 4111-1111-1111-1112"}
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id bigint, text string"))
+    pattern = re.compile(pseudonyms.ANY.replace(r"\d", "[0-9]"))
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymise(frame, "k").collect()}
+    want = {d: pattern.sub(lambda m: brute_pseudonym(m.group()), t) for d, t in {**texts, **more}.items()}
+    assert got == want and sum(want[d] != t for d, t in texts.items()) > 3
+
+
 def test_pseudonyms_of_odd_rows(spark, odd, nothing):
     out = pseudonyms.pseudonymise(odd, "k")
     rows = out.collect()
