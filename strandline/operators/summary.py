@@ -52,16 +52,28 @@ def rollup(nodes: DataFrame, edges: DataFrame, level: str) -> tuple[DataFrame, D
     return groups.select("group", "symbols", "complexity", F.col("x.language").alias("language")), links
 
 
-def file_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: Edge types that tie files together.
+FILE_EDGES = ("calls", "depends-on", "imports", "renders-component", "passes-prop", "binds-model", "listens-event", "handles-route", "calls-http-route", "references-symbol", "scip-imports")
+
+
+def file_graph(nodes: DataFrame, edges: DataFrame, mentioned: dict[str, float] | None = None) -> DataFrame:
     """(src_file, dst_file, type, weight, edges) across files: each edge weighs by what its target's name tells.
 
-    One, times a tenth for a leading underscore, times a tenth for a name defined more than five times; imports times 0.8.
+    One, times one and the weight of a mention of the name; times ten for a long
+    compound identifier, a tenth for a leading underscore, a tenth for a name
+    defined more than five times; imports times 0.8.
     """
     defined = nodes.groupBy("name").agg(F.count(F.lit(1)).alias("definitions"))
     target = nodes.join(defined, "name").select(F.col("id").alias("dst"), F.col("file").alias("dst_file"), "name", "definitions")
     source = nodes.select(F.col("id").alias("src"), F.col("file").alias("src_file"))
-    weight = F.when(F.col("name").startswith("_"), 0.1).otherwise(1.0) * F.when(F.col("definitions") > 5, 0.1).otherwise(1.0) * F.when(F.col("type") == "imports", 0.8).otherwise(1.0)
-    met = edges.join(target, "dst").join(source, "src").filter("src_file <> dst_file").withColumn("w", weight)
+    telling = (F.length("name") >= 8) & F.col("name").rlike(r"^[A-Za-z_][A-Za-z0-9_]*$") & F.col("name").rlike(r"[a-z0-9][A-Z]|[A-Za-z0-9]_[A-Za-z0-9]")
+    telling = telling | (F.contains(F.col("name"), F.lit("-")) & (F.length("name") >= 8))
+    said = F.lit(0.0)
+    for term, w in (mentioned or {}).items():
+        said = F.when(F.lower("name") == term, w).otherwise(said)
+    weight = (F.lit(1.0) + said) * F.when(telling, 10.0).otherwise(1.0) * F.when(F.col("name").startswith("_"), 0.1).otherwise(1.0) * F.when(F.col("definitions") > 5, 0.1).otherwise(1.0)
+    weight = weight * F.when(F.col("type").isin("imports", "scip-imports"), 0.8).otherwise(1.0)
+    met = edges.filter(F.col("type").isin(*FILE_EDGES)).join(target, "dst").join(source, "src").filter("src_file <> dst_file").withColumn("w", weight)
     return met.groupBy("src_file", "dst_file", "type").agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("edges"))
 
 
