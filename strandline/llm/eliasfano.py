@@ -12,6 +12,9 @@ for _x in range(256):
     _places = [b for b in range(8) if _x >> b & 1]
     _SELECT[_x, : len(_places)] = _places
 
+#: Values handled at once where bits or search states are spread out.
+_LOT = 1 << 16
+
 
 class EliasFano:
     """A monotone sequence below ``universe``: packed low bits, unary high bits with a rank directory."""
@@ -25,10 +28,10 @@ class EliasFano:
         n = len(values)
         width = max(0, int(universe // max(n, 1)).bit_length() - 1)
         low = np.zeros((n * width + 7) // 8 + 8, np.uint8)
-        if width:
-            bits = ((values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        for begin in range(0, n if width else 0, _LOT):  # a lot's bits fill whole bytes
+            bits = ((values[begin : begin + _LOT, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
             packed = np.packbits(bits.reshape(-1), bitorder="little")
-            low[: len(packed)] = packed
+            low[begin * width // 8 :][: len(packed)] = packed
         at = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         flags = np.zeros(((int(at[-1]) if n else 0) // 64 + 1) * 64, np.uint8)
         flags[at] = 1
@@ -70,7 +73,6 @@ class BigramTrie:
         pointers = np.concatenate((first, [len(contexts)])).astype(np.int64)
         size = np.diff(pointers)
         last = successors[pointers[1:] - 1].astype(np.int64) if len(first) else np.zeros(0, np.int64)
-        self.shift = None
         shift = np.concatenate(([0], np.cumsum(last + 1)[:-1])) if len(first) else np.zeros(0, np.int64)
         stored = successors.astype(np.int64) + np.repeat(shift, size)
         top = lambda a: int(a[-1]) + 1 if len(a) else 1
@@ -99,6 +101,10 @@ class BigramTrie:
 
     def lookup(self, contexts: np.ndarray, successors: np.ndarray, absent: int) -> np.ndarray:
         """The code of each (context, successor); ``absent`` where the n-gram is not stored."""
+        lots = [self._lookup(contexts[k : k + _LOT], successors[k : k + _LOT], absent) for k in range(0, len(contexts), _LOT)]
+        return np.concatenate(lots) if lots else np.zeros(0, np.uint8)
+
+    def _lookup(self, contexts: np.ndarray, successors: np.ndarray, absent: int) -> np.ndarray:
         out = np.full(len(contexts), absent, np.uint8)
         if not self.contexts.n:
             return out

@@ -32,7 +32,7 @@ from strandline.llm.eliasfano import BigramTrie
 from strandline.llm.text import mix, pieces, word_hashes
 from strandline.runtime import Scratch
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SPREAD = 16
 MU = 20.0
 #: Codes are -log10 P in steps of 1 / STEPS; ABSENT marks an n-gram that was not seen.
@@ -221,18 +221,20 @@ def _bigram_codes(asked: DataFrame) -> DataFrame:
     """For each (block, shard): the code of each bigram it asked for: the trie's, or that of backing off to the word."""
 
     def run(table: pa.Table) -> pa.Table:
-        lists = {k: [unpacked(x) for x in table.column(k).to_pylist()] for k in ("contexts", "successors", "counts", "context_counts", "lower")}
-        c = np.concatenate([np.cumsum(x) for x in lists["contexts"]])
-        w = np.concatenate(lists["successors"])
+        column = lambda k: table.column(k).to_pylist()
         # Ids stay below 2**32 as long as a shard holds fewer than 2**32 / shards words.
-        keys, first, at = np.unique(c << np.uint64(32) | w, return_index=True, return_inverse=True)
-        counts = np.bincount(at, np.concatenate(lists["counts"]).astype(np.float64), len(keys))
-        context, lower = (np.concatenate(lists[k]).astype(np.float64) for k in ("context_counts", "lower"))
-        trie = build_trie(c[first], w[first], counts, context[first], lower[first])
-        codes = trie.lookup(c[first], w[first], ABSENT)
+        each = [np.cumsum(unpacked(c)).astype(np.uint64) << np.uint64(32) | unpacked(w) for c, w in zip(column("contexts"), column("successors"), strict=True)]
+        ends = np.cumsum([len(x) for x in each])[:-1]
+        keys, first, at = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+        del each
+        gathered = lambda k, kind: np.concatenate([unpacked(x).astype(kind) for x in column(k)])
+        counts = np.bincount(at, gathered("counts", np.float64), len(keys))
+        context, lower = gathered("context_counts", np.float64)[first], gathered("lower", np.uint8)[first].astype(np.float64)
+        c, w = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+        trie = build_trie(c, w, counts, context, lower)
+        codes = trie.lookup(c, w, ABSENT)
         trie.close()
-        codes = np.where(codes == ABSENT, _codes(np.log10(MU / (context[first] + MU)) - lower[first] / STEPS), codes)
-        ends = np.cumsum([len(x) for x in lists["contexts"]])[:-1]
+        codes = np.where(codes == ABSENT, _codes(np.log10(MU / (context + MU)) - lower / STEPS), codes)
         return pa.table({"block": table.column("block"), "shard": table.column("shard").cast(pa.int32()), "codes": pa.array([packed(codes[x]) for x in np.split(at, ends)], pa.binary())})
 
     return asked.groupBy("shard").applyInArrow(run, "block string, shard int, codes binary")
