@@ -6,6 +6,7 @@ two values never share one, and the result validates as well:
 
 - payment cards (13 to 19 digits, Luhn): all digits but the last are permuted, the last is the check digit;
 - phone numbers (country code kept) and social security numbers: their digits;
+- IBANs: the account's digits, with new check digits;
 - IPv4 addresses: the 32 bits;
 - dates (ISO, or day.month.year) from 1900 to 2099: the 73 049 days.
 
@@ -30,12 +31,16 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,20}\.[A-Za-z][A-Z
 IPV4 = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 DATE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}\.\d{2}\.\d{4}\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
-PHONE = r"\+\d{1,3}[ -]\(\d{3}\) \d{3}-\d{4}\b|\(\d{3}\) \d{3}-\d{4}\b|\b\d{3}-\d{3}-\d{4}\b"
+PHONE = (
+    r"\+\d{1,3}[ .-](?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}\b|\+\d{8,15}\b"
+    r"|\(\d{3}\) ?\d{3}[ .-]\d{4}\b|\b\d{3}[ .-]\d{3}[ .-]\d{4}\b"
+)
+IBAN = r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b"
 CARD = r"\b\d(?:[ -]?\d){12,18}\b"
-ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, CARD))
+ANY = "|".join((EMAIL, IBAN, IPV4, DATE, SSN, PHONE, CARD))
 #: The e-mail part starts at the start of a run, which keeps the search linear in very long runs.
 _JAVA_ANY = ANY.replace("[A-Za-z0-9._%+-]+@", "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@", 1)
-KINDS = ("email", "ipv4", "date", "ssn", "phone", "card")
+KINDS = ("email", "iban", "ipv4", "date", "ssn", "phone", "card")
 
 
 def _digest(key: str, kind: str, *parts: Column) -> Column:
@@ -107,9 +112,42 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
+    """The country code stays: the digits before the first separator, or two of an unparted number."""
     digits = _digits(m)
-    code = F.substr(digits, F.lit(1), F.length(digits) - 10)
-    return _filled(m, F.concat(code, _permuted(F.substr(digits, F.length(digits) - 9, F.lit(10)), key, "phone")))
+    code = F.when(~m.startswith("+"), 0).when(m.rlike(r"^\+\d+$"), 2).otherwise(F.length(F.regexp_extract(m, r"^\+(\d{1,3})", 1)))
+    own = F.length(digits) - code
+    made = F.concat(F.substr(digits, F.lit(1), code), _permuted(F.substr(digits, code + 1, own), key, "phone"))
+    return F.when(own.between(6, 14), _filled(m, made))
+
+
+def _mod97(text: Column) -> Column:
+    """The remainder of an IBAN's number: letters count 10 to 35."""
+
+    def add(s: Column, c: Column) -> Column:
+        digit = c.between("0", "9")
+        return F.when(digit, s * 10 + c.try_cast("int")).otherwise(s * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
+def _iban(m: Column, key: str) -> Column:
+    """Country and letters stay, the account's digits are permuted (beyond fifteen in two parts), the check digits follow."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    country, account = F.substring(plain, 1, 2), F.substr(plain, F.lit(5), F.length(plain) - 4)
+    digits = _digits(account)
+    n = F.length(digits)
+    some = F.substr(digits, F.lit(1), F.least(n, F.lit(15)))
+    rest = F.substr(digits, F.lit(16), F.greatest(n - 15, F.lit(0)))
+    moved = F.concat(_permuted(some, key, "iban"), F.when(n > 15, _permuted(rest, key, "iban2")).otherwise(""))
+    fresh = _filled(account, moved)
+    check = F.lpad((F.lit(98) - _mod97(F.concat(fresh, country, F.lit("00")))).cast("string"), 2, "0")
+    whole = F.concat(country, check, fresh)
+    spaced = F.aggregate(
+        F.split(m, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+        lambda s, c: F.struct(F.concat(s["out"], F.when(c == " ", c).otherwise(F.substr(whole, s["at"], F.lit(1)))).alias("out"), F.when(c == " ", s["at"]).otherwise(s["at"] + 1).alias("at")), lambda s: s["out"],
+    )
+    valid = (F.length(plain).between(15, 34)) & (n > 0) & (_mod97(F.concat(account, F.substring(plain, 1, 4))) == 1)
+    return F.when(valid, spaced)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -139,7 +177,7 @@ def _date(m: Column, key: str) -> Column:
 def _kind(m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     out = F.when(m.contains("@"), "email")
-    for name, pattern in (("ipv4", IPV4), ("date", DATE), ("ssn", SSN), ("phone", PHONE)):
+    for name, pattern in (("iban", IBAN), ("ipv4", IPV4), ("date", DATE), ("ssn", SSN), ("phone", PHONE)):
         out = out.when(whole(pattern), name)
     return out.otherwise("card")
 
@@ -147,7 +185,7 @@ def _kind(m: Column) -> Column:
 def _pseudonym(kind: Column, m: Column, key: str) -> Column:
     """The pseudonym of a match; null if it does not validate."""
     email = F.concat(F.lit("u"), F.substring(_digest(key, "email", F.lower(m)), 1, 12), F.lit("@example.invalid"))
-    made = {"email": email, "ipv4": _ipv4(m, key), "date": _date(m, key), "ssn": _ssn(m, key), "phone": _phone(m, key), "card": _card(m, key)}
+    made = {"email": email, "iban": _iban(m, key), "ipv4": _ipv4(m, key), "date": _date(m, key), "ssn": _ssn(m, key), "phone": _phone(m, key), "card": _card(m, key)}
     out = F.when(kind == "email", made["email"])
     for name in KINDS[1:]:
         out = out.when(kind == name, made[name])

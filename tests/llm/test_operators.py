@@ -348,10 +348,10 @@ def luhn(s):
 
 def test_pseudonyms_keep_formats_and_links(spark):
     values = {
-        "card": ["4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004"], "ipv4": ["10.0.0.1", "255.255.255.255"], "phone": ["+1 (017) 555-7713", "(212) 555-0100", "212-555-0100"],
+        "card": ["4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004"], "ipv4": ["10.0.0.1", "255.255.255.255"], "phone": ["+1 (017) 555-7713", "(212) 555-0100", "212-555-0100", "+44 20 7946 0958", "212.555.0100", "+4930123456"], "iban": ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19"],
         "ssn": ["123-45-6789"], "date": ["2001-09-09", "29.02.2000"], "email": ["Ann.Bee@mail.example.com"],
     }
-    left = ["4111111111111112", "256.1.1.1", "2001-02-30", "000-45-6789", "666-12-1234", "1850-01-01"]
+    left = ["4111111111111112", "256.1.1.1", "2001-02-30", "000-45-6789", "666-12-1234", "1850-01-01", "DE88370400440532013000", "+1 22 33"]
     rows = [(f"{k}{i}", f"say {v}, {v}!") for k, vs in values.items() for i, v in enumerate(vs)] + [(f"left{i}", f"say {v}, {v}!") for i, v in enumerate(left)]
     frame = spark.createDataFrame(rows, "name string, text string")
     got = {r.name: r for r in pseudonyms.pseudonymise(frame, "k").collect()}
@@ -360,7 +360,10 @@ def test_pseudonyms_keep_formats_and_links(spark):
             r = got[f"{kind}{i}"]
             new = r.found[0].pseudonym
             assert [x.kind for x in r.found] == [kind, kind] and r.text == f"say {new}, {new}!" and new != v
-            if kind in ("card", "phone", "ssn"):
+            if kind == "iban":
+                flat = new.replace(" ", "")
+                assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 and flat[:2] == v[:2]
+            if kind in ("card", "phone", "ssn", "iban"):
                 assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", v)
             if kind == "card":
                 assert luhn(new)
@@ -407,6 +410,16 @@ def brute_pseudonym(m):
 
     if "@" in m:
         return "u" + hashlib.sha256(f"k|email|{m.lower()}".encode()).hexdigest()[:12] + "@example.invalid"
+    if whole(pseudonyms.IBAN):
+        flat = m.replace(" ", "")
+        number = lambda t: int("".join(str(int(c, 36)) for c in t)) % 97
+        own = re.sub("[^0-9]", "", flat[4:])
+        if not (15 <= len(flat) <= 34 and own and number(flat[4:] + flat[:4]) == 1):
+            return m
+        new = iter(brute_digits(own[:15], "iban") + (brute_digits(own[15:], "iban2") if own[15:] else ""))
+        account = "".join(next(new) if c.isdigit() else c for c in flat[4:])
+        made = iter(flat[:2] + str(98 - number(account + flat[:2] + "00")).zfill(2) + account)
+        return "".join(c if c == " " else next(made) for c in m)
     if whole(pseudonyms.IPV4):
         octets = [int(x) for x in m.split(".")]
         if max(octets) > 255:
@@ -426,7 +439,8 @@ def brute_pseudonym(m):
         bad = m[:3] in ("000", "666") or m[:3] >= "900" or m[4:6] == "00" or m[7:] == "0000"
         return m if bad else filled(brute_digits(digits, "ssn"))
     if whole(pseudonyms.PHONE):
-        return filled(digits[:-10] + brute_digits(digits[-10:], "phone"))
+        code = 0 if m[0] != "+" else 2 if m[1:].isdigit() else len(re.match(r"\+(\d{1,3})", m)[1])
+        return filled(digits[:code] + brute_digits(digits[code:], "phone")) if 6 <= len(digits) - code <= 14 else m
     if not luhn(digits):
         return m
     body = brute_digits(digits[:-1], "card")
@@ -434,7 +448,7 @@ def brute_pseudonym(m):
 
 
 def test_pseudonyms_equal_plain_replacing(spark, docs, texts):
-    more = {90_001: "a 1999-12-31 31.12.1999 2024-02-29 123-45-6789 x@y.zz 4111 1111 1111 1111, 1.2.3.4.", 90_002: "+49 (030) 555-0199 1.1.1.300 4111-1111-1111-1112"}
+    more = {90_001: "a 1999-12-31 31.12.1999 2024-02-29 123-45-6789 x@y.zz 4111 1111 1111 1111, 1.2.3.4.", 90_003: "DE89 3704 0044 0532 0130 00, +44 20 7946 0958 and +442079460958 or 212 555 0100; FR1420041010050500013M02606", 90_002: "+49 (030) 555-0199 1.1.1.300 4111-1111-1111-1112"}
     frame = docs.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id bigint, text string"))
     pattern = re.compile(pseudonyms.ANY.replace(r"\d", "[0-9]"))
     got = {r.doc_id: r.text for r in pseudonyms.pseudonymise(frame, "k").collect()}
