@@ -5,9 +5,11 @@ import pytest
 from strandline.functions.source import loop_metrics, masked
 from strandline.operators import impact, quality, resolve
 from strandline.plans.binder import query_graph
-from strandline.sources import extract, reports, store, tree
+from strandline.sources import extract, extract_web, reports, store, tree
 
 FILES = {
+    "ui/Card.vue": "<template>\n  <div class=\"box other\"><slot/></div>\n</template>\n<script setup>\nconst props = defineProps({ title: String, size: Number })\nconst emit = defineEmits(['close'])\n</script>\n<style scoped>\n.box { color: red }\n</style>\n",
+    "ui/Page.vue": "<template>\n  <Card :title=\"t\" @close=\"done\" />\n  <user-list v-model=\"x\" />\n</template>\n<script>\nimport Card from './Card.vue'\nimport { load as fetchIt } from '../web/client'\nexport default { mounted() { fetchIt(1); queue(fetchIt); import('./lazy.js') } }\nconst q = 'ex:Name', z = \"http://x/Person\", d = namedNode(base + id)\n</script>\n",
     "src/service.py": 'import os\n\nclass Service:\n    """Runs it."""\n    def run(self, xs):\n        for x in xs:\n            while x:\n                helper(x)\n        return self.stop()\n\n    def stop(self):\n        return missing()\n\ndef helper(x):\n    return 1 if x else 2\n\ndef lonely():\n    return "helper()"  # helper()\n',
     "web/routes.js": "// serves\nconst express = require('express');\nexport function list(req, res) { return find(req); }\nfunction find(r) {\n  if (r && r.id) { return r; }\n}\nrouter.get('/users/:id', list);\nbus.emit('user:seen', 1);\n",
     "web/client.ts": "import { list } from './routes';\nexport async function load(id: string) {\n  bus.on('user:seen', x);\n  return axios.get(`/users/${id}`);\n}\n",
@@ -32,7 +34,7 @@ def files(spark, tmp_path_factory):
 def test_tree(files):
     found = {r.path: (r.language, r.line_count) for r in files.collect()}
     assert set(found) == set(FILES) - {"node_modules/x/index.js", "web/app.min.js"}
-    assert found["tool"] == ("bash", 4) and found["infra/Dockerfile"][0] == "dockerfile" and found["web/client.ts"] == ("typescript", 5)
+    assert found["ui/Card.vue"][0] == "vue" and found["tool"] == ("bash", 4) and found["infra/Dockerfile"][0] == "dockerfile" and found["web/client.ts"] == ("typescript", 5)
     assert tree.lines(files).filter("file = 'tool'").count() == 5
 
 
@@ -59,6 +61,14 @@ def test_symbols_and_edges(spark, files):
     assert ("sh:path", "iri:http://x/Shape", "iri:http://x/Name", "exact") in got and ("sh:targetClass", "iri:http://x/Shape", "iri:http://x/Person", "exact") in got
     assert {("copies-from-stage", "docker-stage:stage2"), ("builds-from-stage", "docker-stage:test"), ("exposes-port", "docker-stage:stage2")} <= {(t, s) for t, s, _, _ in got}
 
+    page = "ui/Page.vue#component:Page"
+    assert {("renders-component", page, "ui/Card.vue#component:Card"), ("passes-prop", page, "ui/Card.vue#vue-prop:title"), ("listens-event", page, "ui/Card.vue#vue-emit:close")} <= {(r.type, r.src, r.dst) for r in edges.collect()}
+    card = {(r.type, r.dst, r.confidence) for r in edges.filter("file = 'ui/Card.vue'").collect()}
+    assert {("uses-css-class", "ui/Card.vue#css-class:box", "exact"), ("uses-css-class", "unresolved:class:other", "unresolved")} <= card
+    loose = {(r.type, r.dst, r.confidence) for r in edges.filter("file = 'ui/Page.vue'").collect()}
+    assert {("calls", "web/client.ts#load", "exact"), ("references-symbol", "web/client.ts#load", "exact"), ("imports", "module:./lazy.js", "exact"), ("references-term", "iri:http://x/Person", "exact"), ("references-term", "term:ex:Name", "weak")} <= loose
+    assert relations.filter("type = 'dynamic-iri'").count() == 1
+
     dead = {r.name for r in quality.dead_code(symbols.filter("language = 'python'"), edges, ("function", "method"), include_exported=True).collect()}
     assert dead == {"run", "lonely"}
     met = query_graph("MATCH (a:method)-[:calls]->(b) WHERE a.file CONTAINS 'service' RETURN a.name, b.name ORDER BY b.name", symbols.withColumn("transitive_loop_depth", symbols["loop_depth"]), edges)
@@ -66,6 +76,13 @@ def test_symbols_and_edges(spark, files):
     assert {r.node for r in impact.impact(symbols, edges, spark.createDataFrame([("src/service.py#helper",)], "node string")).collect()} == {run.id}
 
 
+def test_signatures_literals_and_imports():
+    assert extract_web.return_types("func f(a int) (string, error)", "go") == ["string", "error"] and extract_web.return_types("def f(x) -> list[int]:", "python") == ["list[int]"]
+    assert extract_web.return_types("public static Foo bar(int x)", "java") == ["Foo"] and extract_web.return_types("void x()", "java") == [] and extract_web.return_types("f(x): Promise<A> {", "typescript") == ["Promise<A>"]
+    assert extract_web.turtle_literals('ex:a rdfs:label "Hi \\"x\\""@en ;\n  ex:b "y" .') == [(1, "rdfs:label", 'Hi \\"x\\"', "en"), (2, "ex:b", "y", "")]
+    assert extract_web.imported_names("import A, { b as c, type D } from './m'\nimport * as n from 'k'") == {"A": ("./m", "default"), "c": ("./m", "b"), "D": ("./m", "D"), "n": ("k", "*")}
+
+
 def test_masking_and_loops():
     assert masked("a = 'x' # y\n", "python") == "a =        \n" and masked('f("{") // }\n', "go") == "f(   )     \n"
     body = ["function f(xs) {", "  for (const x of xs) {", "    xs.find(x); new Foo(); f(x);", "  }", "  xs.find(1)", "}"]
