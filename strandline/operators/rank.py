@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.text import directory
 from strandline.runtime import Scratch
 
 #: Damping, tolerance in L1, rounds.
@@ -136,3 +137,36 @@ def cohesion(edges: DataFrame, membership: DataFrame) -> DataFrame:
     found = rows.groupBy("community").agg(F.sum("internal").alias("internal"), F.sum("external").alias("external"))
     sizes = membership.groupBy("community").agg(F.count(F.lit(1)).alias("nodes"))
     return sizes.join(found, "community").withColumn("cohesion", F.col("internal") / (F.col("internal") + F.col("external")))
+
+
+def boundaries(graph: DataFrame, membership: DataFrame) -> DataFrame:
+    """(src_community, dst_community, weight, edges, types): what ties communities (node, community) of files together, by edge type."""
+    side = lambda x: membership.select(F.col("node").alias(f"{x}_file"), F.col("community").alias(f"{x}_community"))
+    met = graph.join(side("src"), "src_file").join(side("dst"), "dst_file").filter("src_community <> dst_community")
+    typed = met.groupBy("src_community", "dst_community", "type").agg(F.sum("weight").alias("weight"), F.sum("edges").alias("edges"))
+    one = F.struct((-F.col("weight")).alias("w"), "type", "edges")
+    return typed.groupBy("src_community", "dst_community").agg(F.sum("weight").alias("weight"), F.sum("edges").alias("edges"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["type"]).alias("types"))
+
+
+def community_names(membership: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(community, name): the folder of half the files or more, and the stems of the two files of highest rank (node, rank)."""
+    folder = directory(F.col("node"))
+    stem = F.regexp_replace(F.element_at(F.split("node", "/"), -1), r"\.[^.]*$", "")
+    rows = membership.join(ranks, "node", "left").select("community", folder.alias("folder"), stem.alias("stem"), F.coalesce("rank", F.lit(0.0)).alias("rank"), "node")
+    size = rows.groupBy("community").agg(F.count(F.lit(1)).alias("files"))
+    folders = rows.groupBy("community", "folder").agg(F.count(F.lit(1)).alias("n"))
+    main = folders.groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("n"), "folder")).alias("x"), F.count(F.lit(1)).alias("folders"))
+    best = rows.groupBy("community", "stem").agg(F.min(F.struct((-F.col("rank")).alias("r"), "node")).alias("x"))
+    w = Window.partitionBy("community").orderBy("x")
+    two = best.withColumn("k", F.row_number().over(w)).filter("k <= 2").groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "stem"))), lambda x: x["stem"]), " + ").alias("label"))
+    met = size.join(main, "community").join(two, "community")
+    half = (F.col("folders") == 1) | (-F.col("x.n") * 2 >= F.col("files"))
+    return met.select("community", F.when(half, F.concat_ws(": ", "x.folder", "label")).otherwise(F.col("label")).alias("name"))
+
+
+def entry_points(nodes: DataFrame, ranks: DataFrame, limit: int = 20) -> DataFrame:
+    """Files that start something, by name or by a ``main``, best ranked (node, rank) first."""
+    starts = nodes.filter("name = 'main' and kind in ('function', 'method')").select("file").distinct()
+    named = nodes.select("file").filter(F.col("file").rlike(r"(^|/)(main|index|app|server|cli|__main__|manage)\.[a-z]+$")).distinct()
+    files = starts.union(named).distinct()
+    return files.join(ranks.withColumnRenamed("node", "file"), "file", "left").orderBy(F.desc_nulls_last("rank"), "file").limit(limit)

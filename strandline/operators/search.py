@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.text import EXPANSIONS, STOP_WORDS, length_norm, term_weight, token_set, tokens
+from strandline.functions.text import EXPANSIONS, STOP_WORDS, is_test_path, length_norm, term_weight, token_set, tokens
 
 #: Points of a line for terms in it, for all of them, and for the literal query.
 LINE_POINTS, SQUARE_POINTS, ALL_POINTS, LITERAL_POINTS = 80, 14, 120, 160
+#: Points of a template's line, the weight of a rare term, and of one that tells something.
+TEMPLATE_POINTS, RARE, LOW_SIGNAL = 18, 300, 124
 #: Candidates kept, hits of a file in the first pass.
 CANDIDATES, FIRST_PASS = 4_096, 3
 
@@ -75,11 +77,43 @@ def weights(index: DataFrame, terms: list[str], files: int) -> dict[str, int]:
     return {r["token"]: r["w"] for r in df.select("token", term_weight(F.lit(files), F.col("df")).alias("w")).collect()}
 
 
-def scored_lines(index: DataFrame, query: str, terms: list[str] | None = None) -> DataFrame:
+def _points(held: Column, weight: dict[str, int], least: int = 0) -> Column:
+    """The sum of the weights, of ``least`` or more, of the terms in the array ``held``."""
+    return sum((F.when(F.array_contains(held, t), w).otherwise(0) for t, w in sorted(weight.items()) if w >= least), F.lit(0))
+
+
+def rare_cluster(held: Column, weight: dict[str, int]) -> Column:
+    """For two rare terms or more together: 160 for the square of their number and half their weights, 900 at most."""
+    count = sum((F.when(F.array_contains(held, t), 1).otherwise(0) for t, w in weight.items() if w >= RARE), F.lit(0))
+    return F.when(count >= 2, F.least(F.lit(900), count * count * 160 + F.floor(_points(held, weight, RARE) / 2))).otherwise(0)
+
+
+def coverage(in_file: Column, in_line: Column, weight: dict[str, int]) -> Column:
+    """A quarter of the weights in the file and half of those that the line lacks, 500 at most."""
+    return F.least(F.lit(500), F.floor(_points(in_file, weight) / 4) + F.floor(_points(F.array_except(in_file, in_line), weight) / 2))
+
+
+def support_penalty(path: Column) -> Column:
+    """What scripts, examples, fixtures and tests lose against sources."""
+    low = F.lower(path)
+    example = low.rlike(r"(^|/)(examples?|demo|samples)/")
+    return F.when(low.startswith("scripts/"), 900).when(F.contains(low, F.lit("/scripts/")), 800).when(example, 3_000).when(low.rlike("benchmark|fixture|testdata/"), 650).when(is_test_path(path), 500).otherwise(0)
+
+
+def path_score(path: Column, terms: list[str], weight: dict[str, int]) -> Column:
+    """18 for each term in a path, 28 for each in its base name, shares of their weights, less the support penalty."""
+    wanted = F.array(*[F.lit(t) for t in terms])
+    in_path, in_base = (F.array_intersect(token_set(x), wanted) for x in (path, F.element_at(F.split(path, "/"), -1)))
+    return F.size(in_path) * 18 + F.size(in_base) * 28 - support_penalty(path) + F.floor(_points(in_path, weight) / 8) + F.floor(_points(in_base, weight) / 5)
+
+
+def scored_lines(index: DataFrame, query: str, terms: list[str] | None = None, paths: bool = False) -> DataFrame:
     """(file, line, score, matches, text) of the lines that hold a term, by a sum of points.
 
     80 for each term in the line, 14 for the square of their number, the terms'
-    weights times BM25's norm of the file's length, 120 for all terms, 160 for the query itself.
+    weights times BM25's norm of the file's length, rare terms together, what else
+    the file holds, 120 for all terms, 160 for the query itself, 18 for a line of a
+    template; with ``paths``, the points of the file's path.
     """
     terms = query_terms(query) if terms is None else terms
     if not terms:
@@ -87,19 +121,37 @@ def scored_lines(index: DataFrame, query: str, terms: list[str] | None = None) -
     corpus, lengths = measure(index)
     weight = weights(index, terms, corpus.files)
     wanted = F.array(*[F.lit(t) for t in terms])
-    hit = index.withColumn("matched", F.array_intersect("tokens", wanted)).filter(F.size("matched") > 0).join(lengths, "file")
-    own = F.lit(0)
-    for t, w in sorted(weight.items()):
-        own = own + F.when(F.array_contains("matched", t), w).otherwise(0)
+    hit = index.withColumn("matched", F.array_intersect("tokens", wanted)).filter(F.size("matched") > 0)
+    flags = [F.max(F.array_contains("matched", t)).alias(f"t{i}") for i, t in enumerate(terms)]
+    whole = hit.groupBy("file").agg(*flags).select("file", F.array_compact(F.array(*[F.when(F.col(f"t{i}"), F.lit(t)) for i, t in enumerate(terms)])).alias("in_file"))
+    met = hit.join(lengths, "file").join(whole, "file")
     n = F.size("matched")
+    template = F.col("text").rlike("class=|@click=|v-if=|v-model=")
     score = (
         n * LINE_POINTS
         + n * n * SQUARE_POINTS
-        + F.floor(own.cast("double") * length_norm(F.col("length"), F.lit(corpus.average))).cast("int")
+        + F.floor(_points(F.col("matched"), weight).cast("double") * length_norm(F.col("length"), F.lit(corpus.average))).cast("int")
+        + rare_cluster(F.col("matched"), weight)
+        + coverage(F.col("in_file"), F.col("matched"), weight)
         + F.when(n == len(terms), ALL_POINTS).otherwise(0)
         + F.when(F.contains(F.lower("text"), F.lit(query.lower())), LITERAL_POINTS).otherwise(0)
+        + F.when(template, TEMPLATE_POINTS).otherwise(0)
     )
-    return hit.select("file", "line", score.cast("bigint").alias("score"), n.alias("matches"), "text")
+    if paths:
+        score = score + path_score(F.col("file"), terms, weight)
+    return met.select("file", "line", score.cast("bigint").alias("score"), n.alias("matches"), "text")
+
+
+def low_signal(terms: list[str], weight: dict[str, int], best_matches: int) -> bool:
+    """Whether a result tells little: a term occurs nowhere, no line has two terms, and all that matched are common."""
+    if best_matches > 1 or all(t in weight for t in terms) or not weight:
+        return False
+    return all(w < LOW_SIGNAL for w in weight.values())
+
+
+def low_confidence(terms: list[str], best_matches: int) -> bool:
+    """Whether the best line holds less than half of two terms or more."""
+    return len(terms) >= 2 and best_matches * 2 < len(terms)
 
 
 def top_lines(scored: DataFrame, limit: int = 10) -> DataFrame:

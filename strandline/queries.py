@@ -550,10 +550,12 @@ def _search_sql(tail: str) -> str:
 df as (select token, count(distinct file) as df from (select file, unnest(list_intersect(tokens, {listed})) as token from ix) group by 1),
 wt as (select token, least(greatest(floor(ln((files + 1)::double / (df + 1)::double) * 90.0), 0), 420)::int as w from df, av),
 hit as (select file, line, text, list_intersect(tokens, {listed}) as m from ix where len(list_intersect(tokens, {listed})) > 0),
-own as (select file, line, sum(w) as w from (select file, line, unnest(m) as token from hit) join wt using (token) group by 1, 2),
+mt as (select file, line, unnest(m) as token from hit),
+own as (select file, line, sum(w)::bigint as w, coalesce(sum(w) filter (w >= 300), 0)::bigint as rw, count(*) filter (w >= 300) as rk from mt join wt using (token) group by 1, 2),
+infile as (select file, sum(w)::bigint as fw from (select distinct file, token from mt) join wt using (token) group by 1),
 sc as (select h.file, h.line, len(m)::int as matches, (len(m) * 80 + len(m) * len(m) * 14 + floor(w::double * (2.2::double / (1.2::double * ((1 - 0.75)::double + 0.75::double * (length::double / a)) + 1.0::double)))
-  + case when len(m) = {len(terms)} then 120 else 0 end + case when contains(lower(text), 'thinginnd onhesh token license') then 160 else 0 end)::bigint as score
-  from hit h join own using (file, line) join len_ using (file), av) {tail}"""
+  + case when rk >= 2 then least(900, rk * rk * 160 + rw // 2) else 0 end + least(500, fw // 4 + (fw - w) // 2) + case when len(m) = {len(terms)} then 120 else 0 end + case when contains(lower(text), 'thinginnd onhesh token license') then 160 else 0 end + case when regexp_matches(text, 'class=|@click=|v-if=|v-model=') then 18 else 0 end)::bigint as score
+  from hit h join own using (file, line) join infile using (file) join len_ using (file), av) {tail}"""
 
 
 @query("bm25_line_score", _search_sql("select file, line, score, matches from sc"))

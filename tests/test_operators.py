@@ -80,6 +80,25 @@ def test_communities_and_their_parts(spark):
     assert tight["a"] == pytest.approx(6 / 6.1)
 
 
+def test_boundaries_and_names(spark):
+    member = spark.createDataFrame([("src/a.go", "A"), ("src/b.go", "A"), ("lib/c.go", "B"), ("x/d.go", "B"), ("y/e.go", "B")], "node string, community string")
+    graph = spark.createDataFrame([("src/a.go", "lib/c.go", "calls", 2.0, 2), ("src/b.go", "lib/c.go", "imports", 3.0, 1), ("src/a.go", "src/b.go", "calls", 9.0, 9)], "src_file string, dst_file string, type string, weight double, edges bigint")
+    assert [tuple(r) for r in rank.boundaries(graph, member).collect()] == [("A", "B", 5.0, 3, ["imports", "calls"])]
+    ranks = spark.createDataFrame([("src/b.go", 0.9), ("y/e.go", 0.5)], "node string, rank double")
+    assert {tuple(r) for r in rank.community_names(member, ranks).collect()} == {("A", "src: b + a"), ("B", "e + c")}
+    nodes = spark.createDataFrame([("main", "function", "x/d.go"), ("f", "function", "app.py"), ("g", "function", "src/a.go")], "name string, kind string, file string")
+    assert [r.file for r in rank.entry_points(nodes, ranks).collect()] == ["app.py", "x/d.go"]
+
+
+def test_search_points(spark):
+    row = spark.range(1).select(
+        search.support_penalty(queries.F.lit("examples/a.py")).alias("a"), search.support_penalty(queries.F.lit("src/a.py")).alias("b"), search.path_score(queries.F.lit("src/user/UserStore.go"), ["user", "store"], {"user": 80}).alias("c"),
+        search.rare_cluster(queries.F.array(queries.F.lit("x"), queries.F.lit("y")), {"x": 300, "y": 401, "z": 10}).alias("d"),
+    ).first()
+    assert (row.a, row.b, row.c, row.d) == (3000, 0, 2 * 18 + 2 * 28 + 10 + 16, 900)
+    assert search.low_signal(["a", "b"], {"a": 10}, 1) and not search.low_signal(["a"], {"a": 10}, 1) and search.low_confidence(["a", "b", "c"], 1) and not search.low_confidence(["a"], 0)
+
+
 def test_co_change(spark):
     commits = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "a")], "commit int, file string")
     assert [tuple(r) for r in summary.cochange(commits).filter("file = 'a'").collect()] == [("a", "b", 2)]
