@@ -31,12 +31,14 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,20}\.[A-Za-z][A-Z
 IPV4 = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 DATE = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}\.\d{2}\.\d{4}\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
+#: Alternatives go from the strictest to the loosest, so that a number takes no digits of what follows it.
 PHONE = (
+    r"\+\d{1,3}[ -]\(\d{3}\) \d{3}-\d{4}\b|\+1[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}\b|"
     r"\+\d{1,3}[ .-](?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}\b|\+\d{8,15}\b"
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}\b|\b\d{3}[ .-]\d{3}[ .-]\d{4}\b"
 )
 IBAN = r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b"
-CARD = r"\b\d(?:[ -]?\d){12,18}\b"
+CARD = r"\b\d{13,19}\b|\b\d{4}[ -]\d{4}\b(?:[ -]\d{4}\b){2}|\b\d{4}[ -]\d{6}[ -]\d{5}\b"
 ANY = "|".join((EMAIL, IBAN, IPV4, DATE, SSN, PHONE, CARD))
 #: The e-mail part starts at the start of a run, which keeps the search linear in very long runs.
 _JAVA_ANY = ANY.replace("[A-Za-z0-9._%+-]+@", "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@", 1)
