@@ -32,7 +32,7 @@ from strandline.llm.eliasfano import BigramTrie
 from strandline.llm.text import mix, pieces, word_hashes
 from strandline.runtime import Scratch
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 SPREAD = 16
 MU = 20.0
 #: Codes are -log10 P in steps of 1 / STEPS; ABSENT marks an n-gram that was not seen.
@@ -90,7 +90,9 @@ def _blocks(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
             inner[ends] = False
             tokens[inner] = np.concatenate([h for h, _ in hashed])
             known = np.repeat(np.array([in_training(d) for d in ids]), size)
+            del hashed
             words, local = np.unique(tokens, return_inverse=True)
+            del tokens
             # Local numbers follow (shard, hash), the order in which the answers come back.
             shard = _shard(words, shards)
             order = np.argsort(shard, kind="stable")
@@ -187,7 +189,11 @@ def _ask_bigrams(blocks: DataFrame, answers: DataFrame, n: int, v: int, shards:
         before = np.empty_like(local)
         before[1:] = local[:-1]
         before[firsts] = local[firsts[0] + sizes[0] - 1]  # the end token's local number
-        pairs, stream = np.unique(before * len(total) + local, return_inverse=True)
+        before *= len(total)
+        before += local
+        del local
+        pairs, stream = np.unique(before, return_inverse=True)
+        del before
         c, w = pairs // len(total), pairs % len(total)
         train = np.repeat(np.array([in_training(d) for d in docs]), sizes)
         counts = np.bincount(stream[train], minlength=len(pairs))
@@ -272,7 +278,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     scored whole.
     """
     scratch = Scratch(spark, "ngram")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    shards = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))  # a task holds one shard at a time
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     streams, words = scratch.split("blocks", _blocks(plain, shards, block_bytes), "kind", [0, 1])
     words = scratch.put("words", _word_totals(words.select("block", "shard", "keys", "counts"), shards))
