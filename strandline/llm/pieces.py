@@ -27,7 +27,7 @@ from strandline.llm.text import pieces as slices
 
 MARK = "▁"
 #: Words whose ids a worker keeps between blocks; beyond it the table is started anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 BLOCK_BYTES = 4 << 20
 
 
@@ -46,7 +46,6 @@ class PieceModel:
         self.raw = [b"" if special[i] else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         for b, i in enumerate(self.bytes_ids):
             self.raw[i] = bytes([b])
-        self.longest = max(map(len, self.ids))
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes on after the end of a word; words cannot be encoded one by one")
         if sp.encode(" a") == sp.encode("a") or sp.encode("ﬁ") == sp.encode("fi"):
@@ -55,10 +54,49 @@ class PieceModel:
         self.rank = {i: (-1.0 if len(p) == 1 else -sp.get_score(i)) for i, p in self.text.items()}
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._apart: dict[int, bool] = {}
+        self.code = [i.to_bytes(4, "little") for i in range(n)]
+        self._automaton()
         lone = "".join(map(re.escape, (c for c in "\n\t\r" if not any(c in p for p in self.ids))))
         self._units = re.compile(f"{MARK}*[^{MARK}{lone}]+|{MARK}+" + (f"|[{lone}]+" if lone else ""))
         self._known: dict[str, bytes] = {}
 
+    def _automaton(self) -> None:
+        """States for the prefixes of pieces: where a character leads, and the pieces that end there, longest first (length, id)."""
+        step: list[dict[str, int]] = [{}]
+        ends: list[tuple[tuple[int, int], ...]] = [()]
+        for p, i in self.ids.items():
+            if len(p) > 1 and self.parts(i) is None:
+                continue  # merging never makes it
+            at = 0
+            for c in p:
+                if c not in step[at]:
+                    step[at][c] = len(step)
+                    step.append({})
+                    ends.append(())
+                at = step[at][c]
+            ends[at] = ((len(p), i),)
+        back = [0] * len(step)
+        todo = list(step[0].values())
+        for at in todo:  # breadth first: the state of the longest proper end comes earlier
+            for c, to in step[at].items():
+                up = back[at]
+                while up and c not in step[up]:
+                    up = back[up]
+                back[to] = step[up].get(c, 0)
+                todo.append(to)
+            ends[at] += ends[back[at]]
+        self.step, self.ends, self.back = step, ends, back
+
+    def _follow(self, state: int, c: str) -> int:
+        """Where ``c`` leads from ``state``, kept for the next time."""
+        up = state
+        while up and c not in self.step[up]:
+            up = self.back[up]
+        to = self.step[up].get(c, 0)
+        if c in self.ids:
+            self.step[state][c] = to
+        return to
+
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two pieces that are merged last on the way to ``token``; None for a character or a piece that merging never makes."""
         if token not in self._parts:
@@ -116,43 +154,45 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids (little-endian 32-bit) of sorted distinct words."""
         out = []
-        ids, apart, longest, usable = self.ids, self.apart, self.longest, self._usable
-        last: list[int] = [-1]  # the last piece of the encoding of each prefix; -1 stands for nothing or an unknown character
+        step, ends, known_apart, apart, code = self.step, self.ends, self._apart, self.apart, self.code
+        # For each prefix of the word: the last piece of its encoding (-1: none, or an unknown character), its length, the state.
+        last: list[int] = [-1]
         size: list[int] = [0]
+        states: list[int] = [0]
         before = ""
         for word in words:
-            shared = 0
-            for x, y in zip(before, word, strict=False):
-                if x != y:
-                    break
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], size[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for n in range(min(longest, end), 0, -1):
-                    token = ids.get(word[end - n : end])
-                    if token is not None and (n == 1 or usable(token)) and (end == n or apart(last[end - n], token)):
-                        last.append(token)
-                        size.append(n)
-                        break
+            del last[shared + 1 :], size[shared + 1 :], states[shared + 1 :]
+            state, end = states[-1], shared
+            for c in word[shared:]:
+                end += 1
+                to = step[state].get(c)
+                state = self._follow(state, c) if to is None else to
+                states.append(state)
+                for n, token in ends[state]:
+                    if n < end:
+                        left = last[end - n]
+                        fits = known_apart.get(left << 20 | token)
+                        if not (apart(left, token) if fits is None else fits):
+                            continue
+                    last.append(token)
+                    size.append(n)
+                    break
                 else:
                     last.append(-1)
                     size.append(1)
-            found: list[int] = []
-            end = len(word)
+            found = []
             while end:
-                if last[end] >= 0:
-                    found.append(last[end])
-                else:
-                    found.extend(self.bytes_ids[x] for x in reversed(word[end - 1].encode()))
+                token = last[end]
+                found.append(code[token] if token >= 0 else b"".join([code[self.bytes_ids[x]] for x in word[end - 1].encode()]))
                 end -= size[end]
             found.reverse()
-            out.append(np.array(found, "<u4").tobytes())
+            out.append(b"".join(found))
             before = word
         return out
 
-    def _usable(self, token: int) -> bool:
-        return self.parts(token) is not None
-
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts; null and empty texts have none."""
         units = [self._units.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -163,7 +203,7 @@ class PieceModel:
             new = sorted({u for us in units for u in us})
         self._known.update(zip(new, self.encode_words(new), strict=True))
         known = self._known
-        return [b"".join([known[u] for u in us]) for us in units]
+        return [b"".join(map(known.__getitem__, us)) for us in units]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces with marks as spaces, bytes joined, the leading mark dropped."""
