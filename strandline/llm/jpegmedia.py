@@ -30,7 +30,7 @@ from strandline.llm.text import pieces, utf8
 ROW = 64
 MOST_SIDE = 65_535 // 8
 #: Bytes of text whose images are coded and decoded together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Code lengths of the DC categories 0 to 8, chosen for differences between neighbouring text bytes.
 DC_LENGTHS = (4, 4, 3, 3, 2, 3, 4, 3, 5)
