@@ -9,8 +9,8 @@ or more is boilerplate: its lines stay in the document with the smallest id and
 are dropped from all others.
 
 Equal lines are counted before anything is dealt by leaf, so a line in a third of
-all documents is one row there.  A leaf with very many lines is split by more
-leading words, so no task holds an unbounded leaf.
+all documents is one row there.  A leaf is read by one task as a sorted stream; of
+a leaf with very many lines only the leaders are held, indexed by segments.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ class TemplateSettings:
     depth: int = 3
     percent: int = 80
     documents: int = 2
-    #: Distinct lines in a leaf before it is split by twice as many leading words.
+    #: Distinct lines in a leaf before its leaders are looked up by segments; the result does not depend on it.
     leaf_lines: int = 1_000
 
 
@@ -103,6 +103,50 @@ def line_rows(docs: DataFrame, s: TemplateSettings) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, line int, line_id bigint, leaf bigint, lead boolean, marks binary")
 
 
+class _Leaders:
+    """The leaders of one crowded leaf, found again by equal segments of their marks.
+
+    Lines of a leaf differ past its leading words only.  If the words behind those
+    are cut into one segment more than may differ, two lines of one template have a
+    segment in common, so a line is compared with the leaders of its segments alone
+    and no match is lost.  Only leaders are held, never the lines.
+    """
+
+    def __init__(self, words: int, s: TemplateSettings):
+        self.least = words * s.percent
+        depth = min(s.depth, s.words)
+        parts = words * (100 - s.percent) // 100 + 1
+        tail = words - depth
+        # Where all words behind the leading ones may differ, the whole leaf is one segment.
+        cuts = [2 * (depth + tail * k // parts) for k in range(parts + 1)] if tail >= parts else [0, 0]
+        self.segments = [(a, b, {}) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.ids: list[int] = []
+        self.named: list[bool] = []
+        self.marks = np.zeros((16, words), "<u2")
+
+    def add(self, line_id: int, marks: bytes, found: list[tuple[int, int]]) -> None:
+        """Lines come in the order of leaders; (line, leader) goes to ``found``, a leader itself with its first line."""
+        words = np.frombuffer(marks, "<u2")
+        near = sorted({k for a, b, at in self.segments for k in at.get(marks[a:b], ())})
+        if near:
+            same = (self.marks[near] == words).sum(1) * 100 >= self.least
+            if same.any():
+                k = near[int(same.argmax())]
+                if not self.named[k]:
+                    self.named[k] = True
+                    found.append((self.ids[k], self.ids[k]))
+                found.append((line_id, self.ids[k]))
+                return
+        n = len(self.ids)
+        if n == len(self.marks):
+            self.marks = np.concatenate((self.marks, np.zeros_like(self.marks)))
+        self.marks[n] = words
+        self.ids.append(line_id)
+        self.named.append(False)
+        for a, b, at in self.segments:
+            at.setdefault(marks[a:b], []).append(n)
+
+
 def _leaf_templates(lines: DataFrame, s: TemplateSettings) -> DataFrame:
     """(line_id, template) for the lines that share a template with another; rows come sorted by leaf."""
 
@@ -118,14 +162,23 @@ def _leaf_templates(lines: DataFrame, s: TemplateSettings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, ids, marks = None, [], []
+        leaders: _Leaders | None = None
         found: list[tuple[int, int]] = []
         for b in batches:
             for key, i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if key != leaf:
                     found.extend(settle(ids, marks) if len(ids) > 1 else ())
-                    leaf, ids, marks = key, [], []
+                    leaf, ids, marks, leaders = key, [], [], None
+                if leaders is not None:
+                    leaders.add(i, m, found)
+                    continue
                 ids.append(i)
                 marks.append(m)
+                if len(ids) > s.leaf_lines:
+                    leaders = _Leaders(len(m) // 2, s)
+                    for x, y in zip(ids, marks, strict=True):
+                        leaders.add(x, y, found)
+                    ids, marks = [], []
             if len(found) > 10_000:
                 yield _pairs(found)
                 found = []
@@ -147,15 +200,6 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, settings: TemplateSett
     crowded = scratch.put("leaves", rows.groupBy("leaf").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).filter("lo <> hi").select("leaf"))
     lines = rows.filter("lead").select("leaf", "line_id", "marks").join(crowded.hint("merge"), "leaf", "left_semi").dropDuplicates(["line_id"])
     lines = scratch.put("crowded", lines.join(stats.select("line_id", "documents").hint("merge"), "line_id"))
-    depth = s.depth
-    while True:  # the tree grows only under leaves that hold too many lines
-        over = lines.groupBy("leaf").count().filter(F.col("count") > s.leaf_lines).select("leaf", F.lit(True).alias("over"))
-        if over.isEmpty():
-            break
-        depth *= 2
-        whole = F.octet_length("marks") <= 2 * depth  # the whole line: only equal marks are left together
-        deeper = F.when(whole, F.xxhash64("leaf", "line_id")).otherwise(F.xxhash64("leaf", F.substring("marks", 1, 2 * depth)))
-        lines = scratch.put(f"crowded-{depth}", lines.join(over, "leaf", "left").select(F.when(F.col("over"), deeper).otherwise(F.col("leaf")).alias("leaf"), "line_id", "marks", "documents"))
     grouped = scratch.put("templates", _leaf_templates(lines, s))
     # A document may hold several lines of one template: count documents, not lines.
     held = rows.filter("lead").select("doc_id", "line_id").join(grouped, "line_id").select("doc_id", "template").distinct()
