@@ -84,7 +84,7 @@ def iterate(
     changed: Callable[[DataFrame], bool],
     rounds: int,
 ) -> DataFrame:
-    """Apply ``step`` until ``changed`` says no; each round's table is written once."""
+    """Apply ``step`` until ``changed`` says no, RuntimeError if ``rounds`` do not suffice; each round's table is written once."""
     state = scratch.put(f"{name}-0", state)
     for k in range(1, rounds + 1):
         after = scratch.put(f"{name}-{k}", step(state))
@@ -92,5 +92,5 @@ def iterate(
         scratch.drop(f"{name}-{k - 1}")
         state = after
         if not go_on:
-            break
-    return state
+            return state
+    raise RuntimeError(f"{name}: not settled after {rounds} rounds")

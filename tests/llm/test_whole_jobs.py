@@ -5,6 +5,8 @@ import pytest
 from test_operators import drain
 
 from strandline.llm import linededup
+from strandline.llm.components import smallest_reachable
+from strandline.runtime import Scratch
 
 
 @pytest.mark.parametrize("leaf_lines", [1, 5, 1_000])
@@ -19,3 +21,13 @@ def test_crowded_leaves_keep_their_templates(spark, leaf_lines):
     got = {r.doc_id: list(r.lines) for r in linededup.recurring_lines(spark, frame, s).collect()}
     assert got == drain(rows, s)
     assert all(got[i] == [0, 1] for i in range(1, 60))
+
+
+def test_components_of_long_paths_in_few_rounds(spark):
+    falling = [(0, 150), *((i, i - 1) for i in range(150, 1, -1))]
+    ids = np.random.default_rng(1).permutation(np.arange(1_000, 2_000)).tolist()
+    edges = spark.createDataFrame([*falling, *zip(ids, ids[1:], strict=False)], "a bigint, b bigint")
+    found = {r.node: r.component for r in smallest_reachable(Scratch(spark, "paths"), edges, rounds=16).collect()}
+    assert found == {**dict.fromkeys(range(151), 0), **dict.fromkeys(range(1_000, 2_000), 1_000)}
+    with pytest.raises(RuntimeError):
+        smallest_reachable(Scratch(spark, "paths"), edges, rounds=2)
