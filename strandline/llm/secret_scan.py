@@ -33,16 +33,20 @@ except ImportError:  # older interpreters
 
 @dataclass(frozen=True)
 class SecretRule:
-    """``least`` characters are asked of group ``group``; shorter matches are dropped but consumed."""
+    """``least`` characters are asked of group ``group``; shorter matches are dropped but consumed.
+
+    ``body`` is matched behind ``pattern`` and belongs to the span; it may be empty.
+    """
 
     kind: str
     pattern: str
     least: int = 1
     group: int = 0
     folded: bool = False
+    body: str = ""
 
     def compiled(self) -> re.Pattern[str]:
-        return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.folded else 0))
+        return re.compile(self.pattern + self.body, re.ASCII | (re.IGNORECASE if self.folded else 0))
 
 
 #: The three base kinds come first; spans at one start are listed in this order.
@@ -51,8 +55,16 @@ BASE_RULES = (
     SecretRule("access", r"AKIA[A-Z0-9]+", 20),
     SecretRule("hex", r"[0-9a-f]+", 24),
 )
+#: Behind a PEM header: anything up to the END line, or, if another marker or the text's end comes first, the header fields and
+#: base64 lines (16 characters or more, a last one of whole groups of four), broken by white space, quoting or written \\n.
+_GAP = r"""(?:[\x20\x09-\x0D>\#*"',]|\\[nrt])*"""
+_PEM_BODY = (
+    r"(?:[^-]*(?:-(?!----)[^-]*)*-----END (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:{_GAP}[A-Za-z0-9+/]{{16,}}={{0,2}})+"
+    rf"(?:{_GAP}(?:[A-Za-z0-9+/]{{4}})*(?:[A-Za-z0-9+/]{{4}}|[A-Za-z0-9+/]{{3}}=|[A-Za-z0-9+/]{{2}}==)(?=[\r\n\\\"']|\Z))?)?"
+)
 RULES = BASE_RULES + (
-    SecretRule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"),
+    SecretRule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----", body=_PEM_BODY),
     SecretRule("github", r"gh[opsru]_[A-Za-z0-9]+", 40),
     SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     SecretRule("google", r"AIza[A-Za-z0-9_-]+", 39),
