@@ -3,12 +3,10 @@
 Pieces of one length are interchangeable, so a packing is a list of patterns
 (which lengths share a sequence) with multiplicities.  The histogram has at most
 ``capacity`` entries whatever the size of the corpus; only it reaches the driver.
-There, sequences are completed around the largest length that is left: the
-undominated fillings of the remaining room are enumerated depth first, largest
-length first, and cut where the waste cannot fall below the best found so far.
-The incumbent is the best-fit filling, and best-fit decreasing is the first of
-the packings.  Each pattern is repeated as often as its
-lengths allow, and pieces find their places by their rank within their length,
+There, sequences are completed around the largest length that is left.  Plans
+that fill greedily (best-fit decreasing, and with more pieces looked ahead) are
+the incumbents; where they miss the lower bound, a branch and bound goes over
+the undominated fillings of each largest length.  Pieces find their places by their rank within their length,
 which is a distributed numbering.
 """
 
@@ -35,6 +33,8 @@ END_ID = 2
 SEARCH_NODES = 2_000
 #: Pieces looked ahead in the completions that are tried, and the wastes beyond which a sequence is taken apart.
 LOOKAHEAD, WASTES = (3, 1, 2, 4), (0, 1, 2, 4, 8, 16, 32, 64)
+#: Steps of the branch and bound, each weighed by the number of lengths; what it leaves open is in the README.
+PLAN_WORK = 300_000
 Pattern = tuple[tuple[int, int], ...]
 
 
@@ -139,19 +139,16 @@ def completed(histogram: dict[int, int], capacity: int, most: int) -> list[tuple
     return plan
 
 
-def complete(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Best-fit decreasing, improved by completing its loose sequences anew.
+def improved(plan: list[tuple[Pattern, int]], capacity: int, bound: int) -> list[tuple[Pattern, int]]:
+    """The plan with its loose sequences completed anew.
 
     Sequences whose waste exceeds a bound are taken apart and completed again, with
-    each lookahead and bound in turn, as long as that saves a sequence.  The lower
-    bound (all tokens in full sequences) ends the search.
+    each lookahead and bound in turn, as long as that saves a sequence.
     """
-    size = lambda plan: sum(t for _, t in plan)
-    bound = -(-sum(k * int(v) for k, v in histogram.items()) // capacity)
-    best = completed(histogram, capacity, 1)
-    before = size(best) + 1
-    while bound < size(best) < before:
-        before = size(best)
+    best = plan
+    before = sequences(best) + 1
+    while bound < sequences(best) < before:
+        before = sequences(best)
         for most in LOOKAHEAD:
             for waste in WASTES:
                 tight, loose = [], Counter()
@@ -161,11 +158,122 @@ def complete(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, in
                     else:
                         loose.update({k: n * times for k, n in pattern})
                 again = tight + completed(loose, capacity, most)
-                if size(again) < size(best):
+                if sequences(again) < sequences(best):
                     best = again
     return best
 
 
+def sequences(plan: list[tuple[Pattern, int]]) -> int:
+    return sum(t for _, t in plan)
+
+
+def fillings(room: int, counts: dict[int, int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, lengths) of every undominated filling of ``room``, by rising waste, then the largest length first.
+
+    A filling is dominated if a free piece still fits, or fits in place of a smaller one.
+    """
+    lengths = sorted((k for k, v in counts.items() if v and k <= room), reverse=True)
+    reach = [1]  # the sums that the lengths from the last on can make, as bits; counts are left aside
+    for k in reversed(lengths):
+        sums, step = reach[-1], k
+        while step <= room:
+            sums |= sums << step
+            step *= 2
+        reach.append(sums & ((2 << room) - 1))
+    reach.reverse()
+
+    def search(k: int, left: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield chosen
+            return
+        for j in range(k, len(lengths)):
+            if not reach[j] >> left & 1:
+                return
+            x = lengths[j]
+            if x <= left and reach[j] >> (left - x) & 1 and chosen.count(x) < counts[x]:
+                yield from search(j, left - x, (*chosen, x))
+
+    for waste in range(room + 1):
+        if reach[0] >> (room - waste) & 1:
+            for chosen in search(0, room - waste, ()):
+                spare = [x for x in lengths if counts[x] > chosen.count(x)] if waste else []
+                if not any(x <= waste or any(y < x <= y + waste for y in chosen) for x in spare):
+                    yield waste, chosen
+
+
+def branched(histogram: dict[int, int], capacity: int, best: list[tuple[Pattern, int]], bound: int) -> list[tuple[Pattern, int]]:
+    """Branch and bound over whole plans: a better plan than ``best``, or ``best``.
+
+    The sequences of the largest length left are filled by each undominated filling,
+    as many times as counts allow, then by halves, then each number between.  A branch ends when its waste passes
+    what a plan with one sequence less than the incumbent may waste.  First the
+    plans that leave the first choice nowhere are tried, then once, twice, and so on;
+    the search ends with the choices, at the lower bound, or after ``PLAN_WORK``.
+    """
+    tokens = sum(k * v for k, v in histogram.items())
+    work = PLAN_WORK
+
+    def choices(counts: dict[int, int], wasted: int) -> Iterator[tuple[dict[int, int], int, int]]:
+        top = max(k for k, v in counts.items() if v)
+        for waste, chosen in fillings(capacity - top, {**counts, top: counts[top] - 1}):
+            if wasted + waste > (sequences(best) - 1) * capacity - tokens:
+                return
+            need = Counter((top, *chosen))
+            most = min(counts[k] // n for k, n in need.items())
+            for times in dict.fromkeys([*(most >> k for k in range(most.bit_length())), *range(most, 0, -1)]):
+                if wasted + waste * times <= (sequences(best) - 1) * capacity - tokens:
+                    yield need, times, waste * times
+
+    for turns in range(len(histogram) * 4):
+        if sequences(best) <= bound:
+            break
+        counts = {k: int(v) for k, v in histogram.items() if v}
+        open_, path, wasted, spent, cut = [[choices(counts, 0), 0]], [], 0, 0, False
+        while open_ and work > 0 and sequences(best) > bound:
+            children, seen = open_[-1]
+            allowed = seen == 0 or spent < turns
+            cut |= not allowed
+            chosen = next(children, None) if allowed else None
+            if chosen is None:
+                open_.pop()
+                if path:
+                    need, times, waste, turn = path.pop()
+                    wasted, spent = wasted - waste, spent - turn
+                    for k, n in need.items():
+                        counts[k] += n * times
+                continue
+            need, times, waste = chosen
+            turn = int(seen > 0)
+            open_[-1][1] += 1
+            work -= 1 + len(counts)
+            path.append((need, times, waste, turn))
+            wasted, spent = wasted + waste, spent + turn
+            for k, n in need.items():
+                counts[k] -= n * times
+            if any(counts.values()):
+                open_.append([choices(counts, wasted), 0])
+                continue
+            if sum(p[1] for p in path) < sequences(best):
+                best = [(tuple(sorted(p[0].items(), reverse=True)), p[1]) for p in path]
+            open_.append([iter(()), 0])  # taken back at once
+        if work <= 0 or not cut:
+            break
+    return best
+
+
+def complete(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """The best plan of best-fit decreasing, the completions of each lookahead, their improvements, and branch and bound.
+
+    The lower bound (all tokens in full sequences) ends the search.
+    """
+    bound = -(-sum(k * int(v) for k, v in histogram.items()) // capacity)
+    best = improved(completed(histogram, capacity, 1), capacity, bound)
+    for most in sorted(LOOKAHEAD)[1:]:
+        if sequences(best) > bound:
+            best = min(best, improved(completed(histogram, capacity, most), capacity, bound), key=sequences)
+    return branched(histogram, capacity, best, bound)
+
+
 def slots(plan: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, uses of the length in the pattern, first sequence, offset): one row for each length of each pattern."""
     taken: dict[int, int] = {}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from test_operators import drain
 
-from strandline.llm import linededup, secret_scan
+from strandline.llm import linededup, packing, secret_scan
 from strandline.llm.components import smallest_reachable
 from strandline.runtime import Scratch
 
@@ -52,3 +52,21 @@ def test_private_keys_are_redacted_whole(spark):
     texts = {r.doc_id: r.text for r in secret_scan.redact_secrets(frame).collect()}
     assert all(texts[i] == "before it\n<secret:private_key>\nSome words, after it" for i in range(len(KEYS)))
     assert texts[100] == "the mark <secret:private_key> begins a key, the mark <secret:private_key> too"
+
+
+def test_packing_branches_over_whole_plans():
+    full = dict.fromkeys((685, 128, 211, 537, 231, 256, 268, 363, 393), 10_000)
+    plan = packing.complete(full, 1024)
+    assert sum(t for _, t in plan) == 30_000
+    used = {k: sum(dict(p).get(k, 0) * t for p, t in plan) for k in full}
+    assert used == full and all(sum(k * n for k, n in p) <= 1024 for p, _ in plan)
+    # Every greedy filling ends above the bound here.
+    small = {9: 3, 6: 1, 12: 1, 4: 2, 5: 1, 10: 1, 8: 1, 3: 1}
+    best = packing.branched(small, 20, packing.completed(small, 20, 1), -(-sum(k * v for k, v in small.items()) // 20))
+    assert sum(t for _, t in best) == 4
+    assert all(sum(t for _, t in packing.completed(small, 20, m)) > 4 for m in (1, 2, 3, 4))
+
+
+def test_fillings_are_the_undominated_ones():
+    assert list(packing.fillings(10, {6: 1, 5: 2, 4: 1, 3: 1})) == [(0, (6, 4)), (0, (5, 5))]
+    assert list(packing.fillings(9, {7: 1, 4: 1, 3: 1})) == [(2, (7,)), (2, (4, 3))]
