@@ -437,7 +437,9 @@ def _strong(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("communities")
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.communities(_strong(spark, sf_dir))
+    """Over all resolved calls of all parts, weighed by their number."""
+    calls = GraphView(spark, sf_dir).resolved_calls
+    return rank.communities(calls.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
 @query("refine_components", f"""with recursive {CALLS}, e as (select distinct src, dst from calls where line = 1 and confidence = 'exact' and substr(src, 6)::bigint % 5 = 0),
