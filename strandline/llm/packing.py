@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,13 +42,17 @@ Pattern = tuple[tuple[int, int], ...]
 
 @lru_cache(maxsize=2)
 def byte_bpe(path: str):
-    """The vocabulary's encoder; ids equal those of the JSON file of the same vocabulary."""
+    """The vocabulary's encoder; ids equal those of the JSON file of the same vocabulary, with its added tokens."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {}
+    if os.path.exists(whole := os.path.splitext(path)[0] + ".json"):
+        with open(whole, encoding="utf-8") as f:
+            added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"] if x["content"].encode() not in ranks}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def default_vocabulary() -> str:
@@ -64,7 +70,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end
         for b in pieces(batches):
             rows: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.concatenate((encode(text, disallowed_special=()).astype("<u4"), tail)) if text else tail
+                ids = np.concatenate((encode(text, allowed_special="all").astype("<u4"), tail)) if text else tail
                 first = len(ids) % capacity or min(len(ids), capacity)
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):

@@ -1,5 +1,7 @@
 """Jobs that were once done in part: each test fails where a part is cut off."""
 
+import zlib
+
 import numpy as np
 import pytest
 from test_operators import drain
@@ -70,3 +72,15 @@ def test_packing_branches_over_whole_plans():
 def test_fillings_are_the_undominated_ones():
     assert list(packing.fillings(10, {6: 1, 5: 2, 4: 1, 3: 1})) == [(0, (6, 4)), (0, (5, 5))]
     assert list(packing.fillings(9, {7: 1, 4: 1, 3: 1})) == [(2, (7,)), (2, (4, 3))]
+
+
+def test_added_tokens_are_those_of_the_json_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "é <|endoftext|>'s"]
+    rows = packing.pack(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    want = {i: np.array([*reference.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
