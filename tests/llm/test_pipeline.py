@@ -5,7 +5,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from test_operators import ODD, SF, brute_quality, brute_spans, check_packing, components, drain, verdict  # noqa: E402
+from test_llm_operators import ODD, SF, brute_quality, brute_spans, check_packing, components, drain, verdict  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from strandline.llm import linededup, secret_scan  # noqa: E402

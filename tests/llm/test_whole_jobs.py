@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from test_operators import drain
+from test_llm_operators import drain
 
 from strandline.llm import linededup, packing, secret_scan
 from strandline.llm.components import smallest_reachable
