@@ -15,11 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its scan gives fewer splits than there are cores; else as it is.
+
+    A small file is one split, whatever work its rows need; a large table has
+    splits enough and is never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (unit tests, one machine) a temporary
-    folder is made and registered for this application.
+    Only on one machine (a local master) that names none, a temporary folder is
+    made and registered for this application; elsewhere that is a RuntimeError, as
+    the driver could not read what executors write there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -28,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return str(held.get()).rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
     return str(sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
