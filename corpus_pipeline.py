@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.linededup import without_recurring_lines
-from strandline.llm.neardup import near_duplicates
+from strandline.llm.neardup import one_of_each
 from strandline.llm.packing import pack
 from strandline.llm.quality import good_documents
 from strandline.llm.secret_scan import redact_secrets
@@ -23,30 +23,52 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects.
+
+    Null, empty and wordless texts are rejected; repeated rows are judged alike; a null id changes nothing; an empty
+    table stays empty; very long texts are judged whole.
+    """
     return good_documents(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines of recurring templates; a document that loses its last word goes."""
-    names = docs.columns
-    out = without_recurring_lines(spark, docs, count_col="_dropped")
-    return _measured(out.filter((F.col("_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*names))
+    """Texts without the lines of recurring templates; a document that loses its last word goes.
+
+    Null and empty texts stay as they are; rows that share an id are one document; rows with a null id are left alone;
+    an empty table stays empty; very long texts and lines are parsed whole; other columns may have any name.
+    """
+    names, dropped = docs.columns, "_dropped"
+    while dropped in map(str.lower, names):
+        dropped = "_" + dropped
+    out = without_recurring_lines(spark, docs, count_col=dropped)
+    return _measured(out.filter((F.col(dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*names))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; a null id groups with nothing."""
-    kept = Scratch(spark, "pipeline").put("kept", near_duplicates(spark, docs).filter("not kept").select(F.col("doc_id").alias("_gone")))
-    return docs.join(kept.hint("merge"), F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    """One document of each group of near duplicates (five-word shingles, 80 %), that with the smallest id.
+
+    A document is an id with a text: rows that repeat both are one, rows that share only the id are judged apart.
+    Null, empty and wordless texts and rows with a null id group with nothing and stay; an empty table stays empty;
+    very long texts are compared whole; other columns may have any name.
+    """
+    return one_of_each(spark, docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with their secrets replaced by a mark; no document goes."""
+    """Texts with their secrets replaced by a mark; no document goes.
+
+    Null stays null, empty stays empty; repeated rows are treated alike; an empty table stays empty; very long texts are
+    scanned whole.
+    """
     return _measured(redact_secrets(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    """The pieces of all documents and their places in sequences of 1024 tokens.
+
+    A null or empty text is the end token alone; repeated rows are packed each; a null id is passed on; an empty table
+    gives no pieces; a very long text is cut into pieces of 1024 tokens.
+    """
     return pack(spark, docs)
 
 
