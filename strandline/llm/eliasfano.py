@@ -63,12 +63,16 @@ class BigramTrie:
     """Contexts, monotone pointers to their successors, successors, and a code for each successor.
 
     Successors rise within a context; the last stored value of the context before
-    is added, so that the whole level is one monotone sequence.  All levels lie in
-    one unlinked temporary file that is mapped, not held.
+    is added, so that the whole level is one monotone sequence.  A trie is stored
+    as one run of bytes (``stored``); to be read it lies in an unlinked temporary
+    file of the task that is mapped, and no level of it is decoded as a whole.
     """
 
-    def __init__(self, contexts: np.ndarray, successors: np.ndarray, codes: np.ndarray):
-        """Arrays of one entry per n-gram, sorted by context and then successor."""
+    LEVELS = 4
+
+    @staticmethod
+    def stored(contexts: np.ndarray, successors: np.ndarray, codes: np.ndarray) -> bytes:
+        """The bytes of the trie of one entry per n-gram, sorted by context and then successor."""
         first = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1]))) if len(contexts) else np.zeros(0, np.int64)
         pointers = np.concatenate((first, [len(contexts)])).astype(np.int64)
         size = np.diff(pointers)
@@ -78,27 +82,41 @@ class BigramTrie:
         top = lambda a: int(a[-1]) + 1 if len(a) else 1
         levels = [EliasFano.parts(a, top(a)) for a in (contexts[first], pointers, stored, shift)]
         arrays = [np.ascontiguousarray(x) for p in levels for x in p[2:]] + [codes.astype(np.uint8)]
-        self.bytes = sum(a.nbytes for a in arrays)
+        head = np.array([x for p in levels for x in p[:2]] + [a.nbytes for a in arrays], "<i8").tobytes()
+        return head + b"".join(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)
+
+    def __init__(self, blob: bytes):
+        numbers = 2 * self.LEVELS + 3 * self.LEVELS + 1
+        head = np.frombuffer(blob, "<i8", numbers)
         self._file = tempfile.TemporaryFile()
-        places = []
-        for a in arrays:
-            self._file.write(b"\0" * (-self._file.tell() % 8))
-            places.append(self._file.tell())
-            self._file.write(a.tobytes())
+        self._file.write(blob)
         self._file.flush()
-        if self._file.tell():
-            whole = np.memmap(self._file, np.uint8, "r")
-            mapped = [whole[p : p + a.nbytes].view(a.dtype) for p, a in zip(places, arrays, strict=True)]
-        else:
-            mapped = arrays
-        sequence = [EliasFano(levels[k][0], levels[k][1], *mapped[3 * k : 3 * k + 3]) for k in range(4)]
+        whole = np.memmap(self._file, np.uint8, "r")
+        at, mapped = numbers * 8, []
+        for k, size in enumerate(head[2 * self.LEVELS :].tolist()):
+            kind = np.int64 if k < 3 * self.LEVELS and k % 3 == 2 else np.uint8
+            mapped.append(whole[at : at + size].view(kind))
+            at += size + -size % 8
+        sequence = [EliasFano(int(head[2 * k]), int(head[2 * k + 1]), *mapped[3 * k : 3 * k + 3]) for k in range(self.LEVELS)]
         self.contexts, self.pointers, self.successors, self.shifts = sequence
         self.codes = mapped[-1]
-        self._whole_contexts = self.contexts.access(np.arange(self.contexts.n)) if len(first) else np.zeros(0, np.uint64)
 
     def close(self) -> None:
         self._file.close()
 
+    @staticmethod
+    def _first_not_below(level: EliasFano, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Successor search: the first place in low .. high whose value is ``wanted`` or more; ``high`` if there is none."""
+        low, high = low.copy(), high.copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            less = level.access(middle) < wanted[open_]
+            low[open_[less]] = middle[less] + 1
+            high[open_[~less]] = middle[~less]
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
     def lookup(self, contexts: np.ndarray, successors: np.ndarray, absent: int) -> np.ndarray:
         """The code of each (context, successor); ``absent`` where the n-gram is not stored."""
         lots = [self._lookup(contexts[k : k + _LOT], successors[k : k + _LOT], absent) for k in range(0, len(contexts), _LOT)]
@@ -106,23 +124,18 @@ class BigramTrie:
 
     def _lookup(self, contexts: np.ndarray, successors: np.ndarray, absent: int) -> np.ndarray:
         out = np.full(len(contexts), absent, np.uint8)
-        if not self.contexts.n:
+        n = self.contexts.n
+        if not n:
             return out
-        k = np.searchsorted(self._whole_contexts, contexts.astype(np.uint64))
-        k = np.minimum(k, self.contexts.n - 1)
-        known = np.flatnonzero(self._whole_contexts[k] == contexts)
-        k = k[known]
-        low, high = self.pointers.access(k), self.pointers.access(k + 1)
-        low, high = low.astype(np.int64), high.astype(np.int64)
-        end = high.copy()
+        asked, which = np.unique(contexts.astype(np.uint64), return_inverse=True)
+        k = self._first_not_below(self.contexts, asked, np.zeros(len(asked), np.int64), np.full(len(asked), n, np.int64))
+        held = k < n
+        held[held] = self.contexts.access(k[held]) == asked[held]
+        known = np.flatnonzero(held[which])
+        k = k[which[known]]
+        low, end = self.pointers.access(k).astype(np.int64), self.pointers.access(k + 1).astype(np.int64)
         wanted = self.shifts.access(k) + successors[known].astype(np.uint64)
-        open_ = np.arange(len(known))
-        while len(open_):  # successor search within the context's own range
-            middle = (low[open_] + high[open_]) >> 1
-            less = self.successors.access(middle) < wanted[open_]
-            low[open_[less]] = middle[less] + 1
-            high[open_[~less]] = middle[~less]
-            open_ = open_[low[open_] < high[open_]]
+        low = self._first_not_below(self.successors, wanted, low, end)  # within the context's own range
         inside = np.flatnonzero(low < end)
         hit = inside[self.successors.access(low[inside]) == wanted[inside]]
         out[known[hit]] = self.codes[low[hit]]

@@ -1,18 +1,23 @@
 """Scores of texts under an interpolated bigram model that lives in sharded Elias-Fano tries.
 
 The corpus is cut into blocks of about ``block_bytes`` of text.  A block keeps its
-token stream as small local numbers and asks two distributed dictionaries:
-
-1. words: each shard of the words adds up the training counts that the blocks
-   send and answers with total counts and word ids;
-2. bigrams: each shard adds up the counts, builds a trie (contexts, Elias-Fano
-   pointers, successors, 8-bit smoothed log probabilities) in a mapped file, and
-   answers every asked bigram by a successor search within its context.
-
-Only distinct keys of a block are sent, packed and compressed, so a word or pair
-in a third of all places costs one entry for each block; a context's successors
-are dealt to SPREAD shards by the successor.  Nothing is gathered on the driver
-but the two totals N and V.
+token stream as small local numbers.
+
+1. Words: each shard adds up the training counts that the blocks send and answers
+   with total counts and word ids.
+2. Model: each shard adds up the training counts of its bigrams and builds a trie
+   (contexts, Elias-Fano pointers, successors, 8-bit smoothed log probabilities),
+   which is stored as one row of the model's table.  Text that is held out leaves
+   no trace in it.
+3. Scores: each block asks the model for its distinct bigrams.  A shard maps its
+   stored trie and answers by successor search within the context; the block backs
+   off to the word's own probability where the trie has no such bigram.
+
+The number of shards follows the bytes of text, so the work of one shard stays the
+same at any size.  Only distinct keys of a block are sent, packed and compressed, so
+a word or pair in a third of all places costs one entry for each block; a context's
+successors are dealt to SPREAD shards by the successor.  Nothing is gathered on the
+driver but the bytes of text and the two totals N and V.
 
 P(w | v) = (c(v w) + mu P1(w)) / (c(v) + mu) with P1(w) = (c(w) + 1) / (N + V + 1):
 interpolation with Dirichlet weights, so P sums to one over all words and the unknown one.
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +36,11 @@ from pyspark.sql import functions as F
 
 from strandline.llm.eliasfano import BigramTrie
 from strandline.llm.text import mix, pieces, word_hashes
-from strandline.runtime import Scratch
+from strandline.runtime import Scratch, spread
 
 BLOCK_BYTES = 6 << 20
+#: Bytes of text for which there is one shard of the words and of the model.
+SHARD_BYTES = 4 << 20
 SPREAD = 16
 MU = 20.0
 #: Codes are -log10 P in steps of 1 / STEPS; ABSENT marks an n-gram that was not seen.
@@ -170,9 +178,10 @@ def _codes(log10p: np.ndarray) -> np.ndarray:
 
 
 def _ask_bigrams(blocks: DataFrame, answers: DataFrame, n: int, v: int, shards: int) -> DataFrame:
-    """Kind 0: per block base scores and the stream of places in its list of bigrams; kind 1: that list, by shard."""
+    """Kind 0: per block base scores, the stream of places in its list of bigrams, and the code of backing off for each;
+    kind 1: that list, by shard; kind 2: those of them that occur in training text, with their counts, by shard."""
     schema = (
-        "kind int, block string, docs array<bigint>, sizes array<int>, known array<bigint>, base array<double>, stream binary, "
+        "kind int, block string, docs array<bigint>, sizes array<int>, known array<bigint>, base array<double>, stream binary, fallback binary, "
         "shard int, contexts binary, successors binary, context_counts binary, lower binary, counts binary"
     )
 
@@ -180,6 +189,8 @@ def _ask_bigrams(blocks: DataFrame, answers: DataFrame, n: int, v: int, shards:
         right = right.sort_by("shard")
         total = np.concatenate([unpacked(x) for x in right.column("totals").to_pylist()]).astype(np.int64)
         ids = np.concatenate([unpacked(x) for x in right.column("ids").to_pylist()]).astype(np.int64)
+        if int(ids.max()) >> 32:
+            raise OverflowError("more word ids than 32 bits hold: use fewer, larger shards")
         docs, sizes = left.column("docs")[0].as_py(), np.array(left.column("sizes")[0].as_py(), np.int64)
         local = _stream(left.column("stream")[0].as_py())
         log_p1 = np.log10((total + 1) / (n + v + 1))
@@ -201,49 +212,80 @@ def _ask_bigrams(blocks: DataFrame, answers: DataFrame, n: int, v: int, shards:
         order = np.lexsort((ids[w], ids[c], shard))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        c, w, counts = c[order], w[order], counts[order]
-        runs = _cut(shard[order])
-        sent = lambda a: [packed(a[x:y]) for _, x, y in runs]
-        batch = _rows(
-            left.column("block")[0].as_py(), len(runs),
-            [("docs", pa.list_(pa.int64()), docs), ("sizes", pa.list_(pa.int32()), sizes.tolist()), ("known", pa.list_(pa.int64()), known.tolist()),
-             ("base", pa.list_(pa.float64()), base.tolist()), ("stream", pa.binary(), packed(place[stream]))],
-            [("shard", pa.int32(), [s for s, _, _ in runs]), ("contexts", pa.binary(), [packed(np.diff(ids[c][x:y], prepend=0)) for _, x, y in runs]),  # differences: nearly all are small
-             ("successors", pa.binary(), sent(ids[w])), ("context_counts", pa.binary(), sent(total[c])), ("lower", pa.binary(), sent(_codes(log_p1[w]))), ("counts", pa.binary(), sent(counts))],
-        )
-        return pa.Table.from_batches([batch])
+        c, w, counts, shard = c[order], w[order], counts[order], shard[order]
+        lower = _codes(log_p1[w])
+        fallback = _codes(np.log10(MU / (total[c] + MU)) - lower / STEPS)
+        seen = np.flatnonzero(counts)
+        asked, trained = _cut(shard), _cut(shard[seen])
+        block = left.column("block")[0].as_py()
+        sent = lambda a, runs: [packed(a[x:y]) for _, x, y in runs]
+        steps = lambda a, runs: [packed(np.diff(a[x:y], prepend=0)) for _, x, y in runs]  # noqa: E731  (nearly all are small)
+        one = {"docs": docs, "sizes": sizes.tolist(), "known": known.tolist(), "base": base.tolist(), "stream": packed(place[stream]), "fallback": packed(fallback)}
+        questions = {"shard": [k for k, _, _ in asked], "contexts": steps(ids[c], asked), "successors": sent(ids[w], asked)}
+        c, w = c[seen], w[seen]
+        learned = {
+            "shard": [k for k, _, _ in trained], "contexts": steps(ids[c], trained), "successors": sent(ids[w], trained),
+            "context_counts": sent(total[c], trained), "lower": sent(lower[seen], trained), "counts": sent(counts[seen], trained),
+        }
+        sizes_of = (1, len(asked), len(trained))
+        columns = {"kind": sum(([k] * m for k, m in enumerate(sizes_of)), []), "block": [block] * sum(sizes_of)}
+        for name in FIELDS.names[2:]:
+            columns[name] = [one.get(name), *questions.get(name, [None] * len(asked)), *learned.get(name, [None] * len(trained))]
+        return pa.table({f.name: pa.array(columns[f.name], f.type) for f in FIELDS})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def build_trie(contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray, context_counts: np.ndarray, lower: np.ndarray) -> BigramTrie:
-    """The trie of the bigrams with a count, from sorted distinct (context, successor)."""
-    seen = counts > 0
-    p = (counts[seen] + MU * 10.0 ** (-lower[seen] / STEPS)) / (context_counts[seen] + MU)
-    return BigramTrie(contexts[seen], successors[seen], _codes(np.log10(p)))
+FIELDS = pa.schema(
+    [("kind", pa.int32()), ("block", pa.string()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())),
+     ("stream", pa.binary()), ("fallback", pa.binary()), ("shard", pa.int32()), ("contexts", pa.binary()), ("successors", pa.binary()), ("context_counts", pa.binary()),
+     ("lower", pa.binary()), ("counts", pa.binary())]
+)
+
+
+def _keys(contexts: list[bytes], successors: list[bytes]) -> list[np.ndarray]:
+    return [np.cumsum(unpacked(c)).astype(np.uint64) << np.uint64(32) | unpacked(w) for c, w in zip(contexts, successors, strict=True)]
 
 
-def _bigram_codes(asked: DataFrame) -> DataFrame:
-    """For each (block, shard): the code of each bigram it asked for: the trie's, or that of backing off to the word."""
+def build_trie(contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray, context_counts: np.ndarray, lower: np.ndarray) -> bytes:
+    """The stored trie of sorted distinct (context, successor) with their training counts."""
+    p = (counts + MU * 10.0 ** (-lower / STEPS)) / (context_counts + MU)
+    return BigramTrie.stored(contexts, successors, _codes(np.log10(p)))
+
+
+def _model(learned: DataFrame) -> DataFrame:
+    """(shard, trie): the stored trie of each shard that has any training bigram."""
 
     def run(table: pa.Table) -> pa.Table:
         column = lambda k: table.column(k).to_pylist()
-        # Ids stay below 2**32 as long as a shard holds fewer than 2**32 / shards words.
-        each = [np.cumsum(unpacked(c)).astype(np.uint64) << np.uint64(32) | unpacked(w) for c, w in zip(column("contexts"), column("successors"), strict=True)]
-        ends = np.cumsum([len(x) for x in each])[:-1]
-        keys, first, at = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
-        del each
+        keys, first, at = np.unique(np.concatenate(_keys(column("contexts"), column("successors"))), return_index=True, return_inverse=True)
         gathered = lambda k, kind: np.concatenate([unpacked(x).astype(kind) for x in column(k)])
         counts = np.bincount(at, gathered("counts", np.float64), len(keys))
         context, lower = gathered("context_counts", np.float64)[first], gathered("lower", np.uint8)[first].astype(np.float64)
-        c, w = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        trie = build_trie(c, w, counts, context, lower)
-        codes = trie.lookup(c, w, ABSENT)
-        trie.close()
-        codes = np.where(codes == ABSENT, _codes(np.log10(MU / (context + MU)) - lower / STEPS), codes)
-        return pa.table({"block": table.column("block"), "shard": table.column("shard").cast(pa.int32()), "codes": pa.array([packed(codes[x]) for x in np.split(at, ends)], pa.binary())})
+        trie = build_trie(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), counts, context, lower)
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "trie": pa.array([trie], pa.binary())})
 
-    return asked.groupBy("shard").applyInArrow(run, "block string, shard int, codes binary")
+    return learned.groupBy("shard").applyInArrow(run, "shard int, trie binary")
+
+
+def _bigram_codes(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """For each (block, shard): the stored code of each bigram it asked for, ABSENT for those that the model has not."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"block": pa.array([], pa.string()), "shard": pa.array([], pa.int32()), "codes": pa.array([], pa.binary())})
+        each = _keys(left.column("contexts").to_pylist(), left.column("successors").to_pylist())
+        ends = np.cumsum([len(x) for x in each])[:-1]
+        keys, at = np.unique(np.concatenate(each), return_inverse=True)
+        del each
+        codes = np.full(len(keys), ABSENT, np.uint8)
+        if right.num_rows:
+            trie = BigramTrie(right.column("trie")[0].as_py())
+            codes = trie.lookup(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), ABSENT)
+            trie.close()
+        return pa.table({"block": left.column("block"), "shard": left.column("shard").cast(pa.int32()), "codes": pa.array([packed(codes[x]) for x in np.split(at, ends)], pa.binary())})
+
+    return asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(run, "block string, shard int, codes binary")
 
 
 def _scores(blocks: DataFrame, answers: DataFrame, n: int) -> DataFrame:
@@ -252,6 +294,7 @@ def _scores(blocks: DataFrame, answers: DataFrame, n: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("shard")
         codes = np.concatenate([unpacked(x) for x in right.column("codes").to_pylist()])
+        codes = np.where(codes == ABSENT, unpacked(left.column("fallback")[0].as_py()), codes)
         value = codes.astype(np.float64) / -STEPS
         sizes = np.array(left.column("sizes")[0].as_py(), np.int64)
         firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -268,25 +311,49 @@ def _scores(blocks: DataFrame, answers: DataFrame, n: int) -> DataFrame:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
+@dataclass(frozen=True)
+class Fitted:
+    """The stored ``model`` (shard, trie) with its totals, and what the blocks of the corpus ask of it."""
 
-    Null and empty texts and texts of white space consist of the end token alone.
-    A null doc_id counts as in training and is passed on; repeated rows train and
-    score each; without any training text every word is unknown; an empty table
-    gives an empty result.  Only the two named columns are read; long texts are
-    scored whole.
-    """
+    scratch: Scratch
+    model: DataFrame
+    asked: DataFrame
+    streams: DataFrame
+    tokens: int
+    kinds: int
+
+
+def fit(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> Fitted:
+    """Learn from the texts that are ``in_training``; read all texts into blocks that can ask the model."""
     scratch = Scratch(spark, "ngram")
-    shards = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))  # a task holds one shard at a time
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = spread(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    shards = max(2, -(-size // shard_bytes))
     streams, words = scratch.split("blocks", _blocks(plain, shards, block_bytes), "kind", [0, 1])
     words = scratch.put("words", _word_totals(words.select("block", "shard", "keys", "counts"), shards))
     scratch.drop("blocks/kind=1")
     sums = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
-    asked = _ask_bigrams(streams.select("block", "docs", "sizes", "stream"), words.select("block", "shard", "totals", "ids"), sums["n"], sums["v"], shards)
-    streams, pairs = scratch.split("asked", asked, "kind", [0, 1])
+    rows = _ask_bigrams(streams.select("block", "docs", "sizes", "stream"), words.select("block", "shard", "totals", "ids"), sums["n"], sums["v"], shards)
+    streams, asked, learned = scratch.split("asked", rows, "kind", [0, 1, 2])
     scratch.drop("blocks", "words")
-    codes = scratch.put("codes", _bigram_codes(pairs.select("block", "shard", "contexts", "successors", "context_counts", "lower", "counts")))
-    scratch.drop("asked/kind=1")
-    return _scores(streams.select("block", "docs", "sizes", "known", "base", "stream"), codes, sums["n"])
+    model = scratch.put("model", _model(learned.select("shard", "contexts", "successors", "context_counts", "lower", "counts")))
+    scratch.drop("asked/kind=2")
+    return Fitted(scratch, model, asked.select("block", "shard", "contexts", "successors"), streams.select("block", "docs", "sizes", "known", "base", "stream", "fallback"), sums["n"], sums["v"])
+
+
+def score(fitted: Fitted, model: DataFrame | None = None) -> DataFrame:
+    """Scores of all texts of ``fitted`` under its model, or under another table (shard, trie) of the same words."""
+    codes = fitted.scratch.put("codes", _bigram_codes(fitted.asked, fitted.model if model is None else model))
+    return _scores(fitted.streams, codes, fitted.tokens)
+
+
+def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
+
+    Null and empty texts and texts of white space consist of the end token alone.
+    A null doc_id counts as in training and is passed on; repeated rows train and
+    score each; without any training text every word is unknown; an empty table
+    gives an empty result.  Only the two named columns are read; long texts are
+    scored whole.  OverflowError where word ids would pass 32 bits.
+    """
+    return score(fit(spark, docs, id_col, text_col, block_bytes, shard_bytes))

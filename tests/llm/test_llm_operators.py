@@ -247,7 +247,6 @@ def test_packing_is_whole_and_tight(spark, docs, texts):
     import public_tokenizers
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     rows = packing.pack(spark, docs).collect()
     of = defaultdict(dict)
     for r in rows:
@@ -275,7 +274,7 @@ def test_packing_of_odd_rows_and_small_optima(spark, odd, nothing):
 
 
 def test_scores_equal_plain_counting(spark, docs, texts):
-    got = {r.doc_id: r for r in ngram.score_texts(spark, docs, block_bytes=60_000).collect()}
+    got = {r.doc_id: r for r in ngram.score_texts(spark, docs, block_bytes=60_000, shard_bytes=50_000).collect()}
     tokens = {d: [*WORD.findall(lower(t)), None] for d, t in texts.items()}
     one, two = Counter(), Counter()
     for d, t in tokens.items():
@@ -295,6 +294,30 @@ def test_scores_equal_plain_counting(spark, docs, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_come_from_the_stored_model(spark):
+    rows = [(1, "red green blue"), (2, "red green blue"), (7, "red green blue"), (20, "red green gray")]
+    held = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 == 2][0]
+    train = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 != 2][:4]
+    rows = [(i, t) for i, (_, t) in zip(train, rows, strict=True)] + [(held, "red green blue pink")]
+    fitted = ngram.fit(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), shard_bytes=20)
+    whole = {r.doc_id: r.score for r in ngram.score(fitted).collect()}
+    tries = {r.shard: bytes(r.trie) for r in fitted.model.collect()}
+    stored = 0
+    for shard, blob in tries.items():
+        trie = eliasfano.BigramTrie(blob)
+        n = trie.successors.n
+        stored += n
+        first = np.searchsorted(trie.pointers.access(np.arange(trie.pointers.n)), np.arange(n), side="right") - 1
+        c = trie.contexts.access(first)
+        w = trie.successors.access(np.arange(n)) - trie.shifts.access(first)
+        less = eliasfano.BigramTrie.stored(c[1:], w[1:], np.array(trie.codes[1:]))
+        model = spark.createDataFrame([(k, bytearray(less if k == shard else v)) for k, v in tries.items()], fitted.model.schema)
+        changed = {r.doc_id: r.score for r in ngram.score(fitted, model).collect()}
+        assert any(changed[d] < whole[d] - 0.01 for d in train) and all(changed[d] <= whole[d] + 1e-9 for d in train)
+        trie.close()
+    assert stored == 6  # end-red, red-green, green-blue, green-gray, blue-end, gray-end: nothing of the text held out
+
+
 def test_scores_of_odd_rows(spark, odd, nothing):
     rows = ngram.score_texts(spark, odd).collect()
     assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
@@ -310,13 +333,13 @@ def test_elias_fano_and_trie():
     keys = np.unique(rng.integers(0, 50, 800) << 32 | rng.integers(0, 300, 800))
     c, w = (keys >> 32).astype(np.uint64), (keys & 0xFFFFFFFF).astype(np.uint64)
     codes = rng.integers(0, 255, len(keys)).astype(np.uint8)
-    trie = eliasfano.BigramTrie(c, w, codes)
+    trie = eliasfano.BigramTrie(eliasfano.BigramTrie.stored(c, w, codes))
     assert (trie.lookup(c, w, 255) == codes).all()
     known = set(keys.tolist())
     other = np.array([x << 32 | y for x in range(60) for y in range(0, 320, 7) if x << 32 | y not in known])
     assert (trie.lookup((other >> 32).astype(np.uint64), (other & 0xFFFFFFFF).astype(np.uint64), 255) == 255).all()
     trie.close()
-    empty = eliasfano.BigramTrie(c[:0], w[:0], codes[:0])
+    empty = eliasfano.BigramTrie(eliasfano.BigramTrie.stored(c[:0], w[:0], codes[:0]))
     assert (empty.lookup(c, w, 255) == 255).all()
 
 
