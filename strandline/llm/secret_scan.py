@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm.text import _LOWER, pieces, utf8
+from strandline.runtime import spread
 
 try:  # the parser of Python's own patterns
     from re import _constants as C
@@ -46,7 +47,10 @@ class SecretRule:
     body: str = ""
 
     def compiled(self) -> re.Pattern[str]:
-        return re.compile(self.pattern + self.body, re.ASCII | (re.IGNORECASE if self.folded else 0))
+        pattern = self.pattern
+        if self.group == 0 and not self.body and re.fullmatch(r"\[[^\[\]\\^]+\]\+", pattern):  # a run of one class: no shorter run can pass
+            pattern = f"{pattern[:-1]}{{{self.least},}}"
+        return re.compile(pattern + self.body, re.ASCII | (re.IGNORECASE if self.folded else 0))
 
 
 #: The three base kinds come first; spans at one start are listed in this order.
@@ -219,16 +223,12 @@ def block_spans(column: pa.Array, rules: tuple[SecretRule, ...] = RULES) -> dict
     for k, (rule, pattern, query) in enumerate(plan):
         for place in candidates(query, postings, len(column)).tolist():
             text = column[place].as_py() or ""
-            if rule.kind == "hex":  # no shorter run can pass; the run is still taken from its leftmost character
-                found = [(m.start(), m.end()) for m in _LONG_HEX.finditer(text)]
-            else:
-                found = [m.span() for m in pattern.finditer(text) if len(m.group(rule.group)) >= rule.least]
+            found = [m.span() for m in pattern.finditer(text) if len(m.group(rule.group)) >= rule.least]
             if found:
                 out.setdefault(place, []).extend((a, b, k) for a, b in found)
     return {p: [(a, b, rules[k].kind) for a, b, k in sorted(v, key=lambda x: (x[0], x[2]))] for p, v in out.items()}
 
 
-_LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -247,7 +247,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", SPANS)])
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))).mapInArrow(run, schema)
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
