@@ -8,6 +8,9 @@ order of their documents, most first.  A template that occurs in two documents
 or more is boilerplate: its lines stay in the document with the smallest id and
 are dropped from all others.
 
+A line is named by a 64-bit digest of its words within its leaf (of another 64 bits), and its words by
+32 bits each: two lines of one leaf with different words at a place agree there with probability 2^-32.
+
 Equal lines are counted before anything is dealt by leaf, so a line in a third of
 all documents is one row there.  A leaf is read by one task as a sorted stream; of
 a leaf with very many lines only the leaders are held, indexed by segments.
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.text import hash_spans, mix, pieces, utf8, word_bounds
-from strandline.runtime import Scratch
+from strandline.runtime import Scratch, spread
 
 
 @dataclass(frozen=True)
@@ -71,7 +74,7 @@ def parse_lines(buf: np.ndarray, offsets: np.ndarray, s: TemplateSettings) -> di
     for k in range(min(s.depth, s.words)):
         leaf = mix(leaf * np.uint64(31) + hashed[firsts[long] + k])
     line_begin = np.searchsorted(begins, offsets[text_of[long]])
-    marks = (hashed >> np.uint64(40)).astype("<u2")
+    marks = (hashed >> np.uint64(32)).astype("<u4")
     return {
         "text": text_of[long], "line": long - line_begin, "line_id": mix(total[long] + n).astype(np.int64), "leaf": leaf.astype(np.int64),
         "first": firsts[long], "count": count[long], "marks": marks,
@@ -91,9 +94,9 @@ def line_rows(docs: DataFrame, s: TemplateSettings) -> DataFrame:
             if n:
                 t, i = x["text"][order], x["line_id"][order]
                 lead[order[np.concatenate(([True], (t[1:] != t[:-1]) | (i[1:] != i[:-1])))]] = True
-            # Marks of one line stand together: 16 bits for each word.
+            # Marks of one line stand together: 32 bits for each word.
             at = np.arange(int(x["count"].sum())) - np.repeat(np.cumsum(x["count"]) - x["count"], x["count"]) + np.repeat(x["first"], x["count"])
-            ends = np.concatenate(([0], np.cumsum(x["count"] * 2))).astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum(x["count"] * 4))).astype(np.int32)
             marks = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(x["marks"][at].tobytes())])
             ids = b.column(0).take(pa.array(x["text"]))
             yield pa.RecordBatch.from_arrays(
@@ -118,15 +121,15 @@ class _Leaders:
         parts = words * (100 - s.percent) // 100 + 1
         tail = words - depth
         # Where all words behind the leading ones may differ, the whole leaf is one segment.
-        cuts = [2 * (depth + tail * k // parts) for k in range(parts + 1)] if tail >= parts else [0, 0]
+        cuts = [4 * (depth + tail * k // parts) for k in range(parts + 1)] if tail >= parts else [0, 0]
         self.segments = [(a, b, {}) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.ids: list[int] = []
         self.named: list[bool] = []
-        self.marks = np.zeros((16, words), "<u2")
+        self.marks = np.zeros((16, words), "<u4")
 
     def add(self, line_id: int, marks: bytes, found: list[tuple[int, int]]) -> None:
         """Lines come in the order of leaders; (line, leader) goes to ``found``, a leader itself with its first line."""
-        words = np.frombuffer(marks, "<u2")
+        words = np.frombuffer(marks, "<u4")
         near = sorted({k for a, b, at in self.segments for k in at.get(marks[a:b], ())})
         if near:
             same = (self.marks[near] == words).sum(1) * 100 >= self.least
@@ -148,10 +151,10 @@ class _Leaders:
 
 
 def _leaf_templates(lines: DataFrame, s: TemplateSettings) -> DataFrame:
-    """(line_id, template) for the lines that share a template with another; rows come sorted by leaf."""
+    """(leaf, line_id, template) for the lines that share a template with another; rows come sorted by leaf."""
 
     def settle(ids: list[int], marks: list[bytes]) -> Iterator[tuple[int, int]]:
-        words = np.frombuffer(b"".join(marks), "<u2").reshape(len(ids), -1)
+        words = np.frombuffer(b"".join(marks), "<u4").reshape(len(ids), -1)
         free = np.arange(len(ids))
         while len(free) > 1:
             same = (words[free[1:]] == words[free[0]]).sum(1) * 100 >= words.shape[1] * s.percent
@@ -163,53 +166,57 @@ def _leaf_templates(lines: DataFrame, s: TemplateSettings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, ids, marks = None, [], []
         leaders: _Leaders | None = None
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, int]] = []
+        pairs: list[tuple[int, int]] = []  # of the leaf at hand
         for b in batches:
             for key, i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if key != leaf:
-                    found.extend(settle(ids, marks) if len(ids) > 1 else ())
-                    leaf, ids, marks, leaders = key, [], [], None
+                    pairs.extend(settle(ids, marks) if len(ids) > 1 else ())
+                    found.extend((leaf, x, y) for x, y in pairs)
+                    leaf, ids, marks, leaders, pairs = key, [], [], None, []
                 if leaders is not None:
-                    leaders.add(i, m, found)
-                    continue
-                ids.append(i)
-                marks.append(m)
-                if len(ids) > s.leaf_lines:
-                    leaders = _Leaders(len(m) // 2, s)
-                    for x, y in zip(ids, marks, strict=True):
-                        leaders.add(x, y, found)
-                    ids, marks = [], []
-            if len(found) > 10_000:
-                yield _pairs(found)
-                found = []
-        found.extend(settle(ids, marks) if len(ids) > 1 else ())
-        yield _pairs(found)
-
-    def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["line_id", "template"])
+                    leaders.add(i, m, pairs)
+                else:
+                    ids.append(i)
+                    marks.append(m)
+                    if len(ids) > s.leaf_lines:
+                        leaders = _Leaders(len(m) // 4, s)
+                        for x, y in zip(ids, marks, strict=True):
+                            leaders.add(x, y, pairs)
+                        ids, marks = [], []
+                if len(found) + len(pairs) > 10_000:
+                    yield _named(found + [(leaf, x, y) for x, y in pairs])
+                    found, pairs = [], []
+        pairs.extend(settle(ids, marks) if len(ids) > 1 else ())
+        yield _named(found + [(leaf, x, y) for x, y in pairs])
+
+    def _named(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["leaf", "line_id", "template"])
 
     dealt = lines.repartition("leaf").sortWithinPartitions("leaf", F.desc("documents"), "line_id")
-    return dealt.select("leaf", "line_id", "marks").mapInArrow(run, "line_id bigint, template bigint")
+    return dealt.select("leaf", "line_id", "marks").mapInArrow(run, "leaf bigint, line_id bigint, template bigint")
 
 
 def recurring_lines(spark: SparkSession, docs: DataFrame, settings: TemplateSettings = TemplateSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lines): the numbers of the lines to drop, for each document that has any."""
     s, scratch = settings, Scratch(spark, "lines")
-    rows = scratch.put("rows", line_rows(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null"), s))
-    stats = scratch.put("stats", rows.groupBy("line_id").agg(F.count(F.when(F.col("lead"), 1)).alias("documents"), F.min("doc_id").alias("first")))
-    crowded = scratch.put("leaves", rows.groupBy("leaf").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).filter("lo <> hi").select("leaf"))
-    lines = rows.filter("lead").select("leaf", "line_id", "marks").join(crowded.hint("merge"), "leaf", "left_semi").dropDuplicates(["line_id"])
-    lines = scratch.put("crowded", lines.join(stats.select("line_id", "documents").hint("merge"), "line_id"))
+    line = ["leaf", "line_id"]  # a line is named by its digest within its leaf
+    plain = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
+    rows = scratch.put("rows", line_rows(spread(plain), s))
+    stats = scratch.put("stats", rows.groupBy(*line).agg(F.count(F.when(F.col("lead"), 1)).alias("documents"), F.min("doc_id").alias("first")))
+    crowded = scratch.put("leaves", stats.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf"))
+    lines = rows.filter("lead").select(*line, "marks").join(crowded.hint("merge"), "leaf", "left_semi").dropDuplicates(line)
+    lines = scratch.put("crowded", lines.join(stats.select(*line, "documents").hint("merge"), line))
     grouped = scratch.put("templates", _leaf_templates(lines, s))
     # A document may hold several lines of one template: count documents, not lines.
-    held = rows.filter("lead").select("doc_id", "line_id").join(grouped, "line_id").select("doc_id", "template").distinct()
-    shared = held.groupBy("template").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first"))
-    own = stats.join(grouped, "line_id", "left_anti").select("line_id", "documents", "first")
-    known = own.union(grouped.join(shared, "template").select("line_id", "documents", "first")).filter(F.col("documents") >= s.documents)
-    known = scratch.put("known", known.select("line_id", "first"))
-    dropped = rows.select("doc_id", "line", "line_id").join(known.hint("merge"), "line_id").filter("doc_id <> first").groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    held = rows.filter("lead").select("doc_id", *line).join(grouped.hint("merge"), line).select("doc_id", "leaf", "template").distinct()
+    shared = scratch.put("shared", held.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first")))
+    own = stats.join(grouped.hint("merge"), line, "left_anti").select(*line, "documents", "first")
+    known = own.union(grouped.join(shared.hint("merge"), ["leaf", "template"]).select(*line, "documents", "first")).filter(F.col("documents") >= s.documents)
+    known = scratch.put("known", known.select(*line, "first"))
+    dropped = rows.select("doc_id", "line", *line).join(known.hint("merge"), line).filter("doc_id <> first").groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     dropped = scratch.put("dropped", dropped)
-    scratch.drop("rows", "stats", "crowded", "templates", "known")
+    scratch.drop("rows", "stats", "leaves", "crowded", "templates", "shared", "known")
     return dropped
 
 
