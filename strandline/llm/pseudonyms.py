@@ -5,13 +5,14 @@ within their own format, so that a value has one pseudonym in every document,
 two values never share one, and the result validates as well:
 
 - payment cards (13 to 19 digits, Luhn): all digits but the last are permuted, the last is the check digit;
-- phone numbers (country code kept) and social security numbers: their digits;
+- phone numbers (country code kept): their digits;
+- social security numbers: the 888 931 098 valid ones;
 - IBANs: the account's digits, with new check digits;
 - IPv4 addresses: the 32 bits;
 - dates (ISO, or day.month.year) from 1900 to 2099: the 73 049 days.
 
-E-mail addresses have no number to permute: the address becomes a keyed digest at
-``example.invalid``.  What does not validate stays as it is.
+E-mail addresses have no number to permute: the address, in lower case, becomes a keyed
+digest of 128 bits at ``example.invalid``.  What does not validate stays as it is.
 
 A half of a Feistel pair moves by a keyed digest of the other half, modulo its
 own range, so any product of two ranges is a domain and no cycle walking is needed.
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.runtime import spread
+
 ROUNDS = 8
 #: The 73 049 days from 1900-01-01 to 2099-12-31 are 17 * 4297.
 DAYS = (17, 4297)
@@ -55,7 +58,7 @@ def _number(digest: Column) -> Column:
 
 def feistel(value: Column, left: Column, right: Column, key: str, kind: str) -> Column:
     """The place of ``value`` in a keyed permutation of 0 .. left * right - 1."""
-    start = F.struct(F.floor(value / right).cast("bigint").alias("a"), (value % right).cast("bigint").alias("b"))
+    start = F.struct(F.call_function("div", value, right).cast("bigint").alias("a"), (value % right).cast("bigint").alias("b"))
 
     def turn(s: Column, r: Column) -> Column:
         even = r % 2 == 0
@@ -153,9 +156,21 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
+    """Permuted among the valid numbers: 898 areas (001 to 899 but 666), 99 groups and 9999 serials, none of them zero."""
     area, group, serial = (F.substring(m, at, n) for at, n in ((1, 3), (5, 2), (8, 4)))
     valid = ~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000")
-    return F.when(valid, _filled(m, _permuted(_digits(m), key, "ssn")))
+    number = lambda c: c.cast("bigint")
+    rank = number(area) - F.when(number(area) > 666, 2).otherwise(1)
+    value = (rank * 99 + number(group) - 1) * 9999 + number(serial) - 1
+
+    def shown(v: Column) -> Column:
+        high = F.call_function("div", v, F.lit(9999))
+        place = F.call_function("div", high, F.lit(99))
+        digits = lambda x, n: F.lpad(x.cast("string"), n, "0")
+        return F.concat_ws("-", digits(place + F.when(place >= 665, 2).otherwise(1), 3), digits(high % 99 + 1, 2), digits(v % 9999 + 1, 4))
+
+    moved = F.transform(F.array(feistel(value, F.lit(898 * 99), F.lit(9999), key, "ssn")), shown)
+    return F.when(valid, moved[0])
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -186,7 +201,7 @@ def _kind(m: Column) -> Column:
 
 def _pseudonym(kind: Column, m: Column, key: str) -> Column:
     """The pseudonym of a match; null if it does not validate."""
-    email = F.concat(F.lit("u"), F.substring(_digest(key, "email", F.lower(m)), 1, 12), F.lit("@example.invalid"))
+    email = F.concat(F.lit("u"), F.substring(_digest(key, "email", F.lower(m)), 1, 32), F.lit("@example.invalid"))
     made = {"email": email, "iban": _iban(m, key), "ipv4": _ipv4(m, key), "date": _date(m, key), "ssn": _ssn(m, key), "phone": _phone(m, key), "card": _card(m, key)}
     out = F.when(kind == "email", made["email"])
     for name in KINDS[1:]:
@@ -205,7 +220,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out_col: str
     names = docs.columns
     # Few texts hold a digit next to what a value needs; the others never meet the full pattern.
     hit = text.rlike(r"@|\d[\d ().-]{5}")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), text.alias("_t"), F.when(hit, F.regexp_extract_all(text, F.lit(_JAVA_ANY), F.lit(0))).alias("_m"))
+    rows = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), text.alias("_t"), F.when(hit, F.regexp_extract_all(text, F.lit(_JAVA_ANY), F.lit(0))).alias("_m"))
     rows = rows.withColumn("_made", F.transform("_m", lambda m: F.struct(_kind(m).alias("kind"), m.alias("value"))))
     rows = rows.withColumn("_made", F.transform("_made", lambda x: F.struct(x["kind"], x["value"], _pseudonym(x["kind"], x["value"], key).alias("pseudonym"))))
     between = F.split("_t", _JAVA_ANY, -1)

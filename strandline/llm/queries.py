@@ -52,7 +52,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its personal data replaced, and what was replaced by kind."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pseudonyms.pseudonymise(docs, KEY)
+    out = pseudonyms.pseudonymise(docs, spark.conf.get("spark.strandline.pseudonymKey", KEY))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     made = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["pseudonym"])), ",")
     return out.select("doc_id", *[count(k) for k in pseudonyms.KINDS], made.alias("pseudonyms"), "text")
@@ -75,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
-#: Stands for the caller's secret key.
+#: Stands for the caller's secret key where the session has no spark.strandline.pseudonymKey.
 KEY = "strandline"
 
 QUERIES = {
