@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.text import pieces, utf8
+from strandline.runtime import spread
 
 ROW = 64
 MOST_SIDE = 65_535 // 8
@@ -99,40 +100,68 @@ def _code_rows(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return stuffed, np.diff(place[first])
 
 
-def shape_of(size: int) -> tuple[int, int]:
-    """(rows, columns) of blocks for a payload of ``size`` bytes; wide beyond 8191 rows of 64."""
-    lots = -(-size // (ROW * MOST_SIDE))
-    return -(-size // (ROW * lots)), ROW * lots
+def _parts(size: int) -> list[int]:
+    """The bytes that each image of a payload holds."""
+    return [min(ROW * MOST_SIDE, size - at) for at in range(0, size, ROW * MOST_SIDE)]
 
 
 def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """One JPEG for each payload ``data[offsets[i]:offsets[i + 1]]``; sizes are positive multiples of 64."""
-    sizes = np.diff(offsets)
-    shapes = [shape_of(int(n)) for n in sizes]
-    if any(c > MOST_SIDE for _, c in shapes):
-        raise ValueError("a payload is larger than one image holds")
-    room = np.array([r * c for r, c in shapes], np.int64)
-    if (room != sizes).any():  # a wide image may need blocks beyond the payload
-        whole = np.zeros(int(room.sum()), np.uint8)
-        starts = np.concatenate(([0], np.cumsum(room)))
-        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-            whole[starts[i] : starts[i] + b - a] = data[a:b]
-        data = whole
-    coded, row_sizes = _code_rows(data.reshape(-1, ROW))
-    raw = coded.tobytes()
-    ends = np.concatenate(([0], np.cumsum(row_sizes)))
-    out, row = [], 0
-    for (r, c), n in zip(shapes, sizes.tolist(), strict=True):
-        lots = r * c // ROW
-        cuts = ends[row : row + lots + 1].tolist()
-        parts = [_header(r, c, n)]
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if k:
-                parts.append(_RESTARTS[(k - 1) & 7])
-            parts.append(raw[a:b])
-        parts.append(b"\xff\xd9")
-        out.append(b"".join(parts))
-        row += lots
+    """The stored form of each payload ``data[offsets[i]:offsets[i + 1]]``, whose sizes are positive multiples of 64.
+
+    One image of 64 columns of blocks, or several one after the other where the payload has more than MOST_SIDE rows.
+    """
+    cuts = [_parts(int(n)) for n in np.diff(offsets)]
+    out: list[bytes] = []
+    for begin, end in _lots([sum(c) for c in cuts]):
+        images = iter(_encode_images(data[offsets[begin] : offsets[end]], [n for c in cuts[begin:end] for n in c]))
+        out += [b"".join(next(images) for _ in c) for c in cuts[begin:end]]
+    return out
+
+
+def _lots(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of items of about BLOCK_BYTES, one item at least."""
+    begin, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > BLOCK_BYTES:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def _encode_images(data: np.ndarray, sizes: list[int]) -> Iterator[bytes]:
+    at = 0
+    for begin, end in _lots(sizes):
+        size = sum(sizes[begin:end])
+        coded, row_sizes = _code_rows(data[at : at + size].reshape(-1, ROW))
+        at += size
+        raw = coded.tobytes()
+        ends = np.concatenate(([0], np.cumsum(row_sizes)))
+        row = 0
+        for n in sizes[begin:end]:
+            rows = n // ROW
+            cuts = ends[row : row + rows + 1].tolist()
+            parts = [_header(rows, ROW, n)]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if k:
+                    parts.append(_RESTARTS[(k - 1) & 7])
+                parts.append(raw[a:b])
+            parts.append(b"\xff\xd9")
+            yield b"".join(parts)
+            row += rows
+
+
+def images_of(media: bytes) -> list[bytes]:
+    """The images that stand one after the other in a stored value."""
+    out, at = [], 0
+    while at < len(media):
+        place = at + 2
+        while media[place + 1] != 0xDA:
+            place += 2 + int.from_bytes(media[place + 2 : place + 4], "big")
+        end = media.index(b"\xff\xd9", place) + 2  # stuffing keeps the mark out of the scan
+        out.append(media[at:end])
+        at = end
     return out
 
 
@@ -356,21 +385,22 @@ def _payloads(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each text's bytes as a JPEG; null and empty texts are 64 zero bytes."""
+    """(doc_id, n_bytes, media): each text's bytes as a JPEG, or several for a very long one; null and empty texts are 64 zero bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, most=BLOCK_BYTES):
             data, ends, size = _payloads(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(encode_payloads(data, ends), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return spread(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
 
 def digests(media: DataFrame) -> DataFrame:
     """Of (doc_id, n_bytes, media): what is read back from the stored bytes.
 
     A null id is passed on, repeated rows get equal rows, an empty table stays
-    empty.  A very long text becomes a wide image.
+    empty.  A text above 524 224 bytes is several images, coded and read one lot
+    after the other; their features are joined by ``+``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,15 +413,25 @@ def digests(media: DataFrame) -> DataFrame:
                 begin = end
                 stored = b.column(2).to_pylist()
                 rows = []
-                for media, (small, feature) in zip(stored, features(stored), strict=True):
-                    data = small.reshape(-1)[: int(parse_comment(media))].tobytes()
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                cut = [images_of(media) for media in stored]
+                read = _read([image for images in cut for image in images])
+                for media, images in zip(stored, cut, strict=True):
+                    found = [next(read) for _ in images]
+                    data = b"".join(x for x, _ in found)
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), "+".join(x for _, x in found)))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], names=_NAMES)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _SCHEMA)
 
 
+def _read(images: list[bytes]) -> Iterator[tuple[bytes, str]]:
+    """(payload, feature) of each image."""
+    for begin, end in _lots([len(x) for x in images]):
+        for image, (small, feature) in zip(images[begin:end], features(images[begin:end]), strict=True):
+            yield small.reshape(-1)[: int(parse_comment(image))].tobytes(), feature
+
+
 _NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 _SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
