@@ -9,7 +9,7 @@ kernel is a product of presence vectors, landmarks and regressions fold into one
 matrix (buckets by languages), and a batch is scored by one product.
 
 Only the fit is done on a sample, of at most SAMPLE_PER_LABEL texts for each
-label, drawn by a hash of the id; every text is scored whole.
+label, drawn by a hash of id and text; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -19,16 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.text import pieces, utf8
+from strandline.runtime import spread
 
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 15
 SIZE = len(GRAMS) * BUCKETS
 #: Bounds of the fit: texts per label, all texts, landmarks per label.
 SAMPLE_PER_LABEL, SAMPLE_ALL, LANDMARKS = 200, 4_000, 32
+#: Labels that are learned, the most frequent ones; it bounds the matrix that every task holds (393 kB a label).
+MOST_LABELS = 200
 RIDGE = 1e-2
 #: Texts in one product of the scoring.
 ROWS = 32
@@ -123,16 +126,23 @@ def fit_model(texts: list[np.ndarray], labels: list[str]) -> Model | None:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, label_col: str, in_training: Column) -> Model | None:
-    """A model of the labelled rows that ``in_training`` admits."""
-    rows = docs.filter(in_training & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}  # one row for each label
+    """A model of the labelled rows that ``in_training`` admits.
+
+    At most SAMPLE_ALL rows reach the driver: the least hashes of id and text of each of the MOST_LABELS most frequent
+    labels.  Rows that repeat id and text are drawn as any others; rows with a null id are told apart by their texts.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").alias("label"), in_training.alias("learn"))
+    rows = rows.filter("learn and label is not null and text is not null")
+    counts = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()}
     if not counts:
         return None
     each = max(1, min(SAMPLE_PER_LABEL, SAMPLE_ALL // len(counts)))
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
-    # A hash bound that admits somewhat more than asked; the least hashes of each label are taken below.
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
+    # A hash bound that admits somewhat more than asked, so that few rows are ranked; the rank makes the bound exact.
     edge = F.create_map(*[x for lab, n in counts.items() for x in (F.lit(lab), F.lit(int(min(1.0, (1.3 * each + 30) / n) * (1 << 40))))])
-    drawn = rows.filter(place < edge[F.col(label_col)]).select(place.alias("k"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    near = rows.select("label", "text", place.alias("k")).filter(F.col("k") < edge[F.col("label")])
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("k"))
+    drawn = near.withColumn("rank", rank).filter(F.col("rank") <= each).select("k", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -140,15 +150,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, label_col: str, in_traini
             found = [np.unique(buckets(buf[x:y])).astype(np.int32).tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["k", "label", "grams"])
 
-    got: dict[str, list] = {}
-    for r in drawn.mapInArrow(run, "k bigint, label string, grams binary").collect():
-        got.setdefault(r["label"], []).append((r["k"], bytes(r["grams"])))
-    texts, labels = [], []
-    for lab in sorted(got):
-        for _, grams in sorted(got[lab])[:each]:
-            texts.append(np.frombuffer(grams, np.int32).astype(np.int64))
-            labels.append(lab)
-    return fit_model(texts, labels)
+    got = sorted((r["label"], r["k"], bytes(r["grams"])) for r in drawn.mapInArrow(run, "k bigint, label string, grams binary").collect())
+    return fit_model([np.frombuffer(grams, np.int32).astype(np.int64) for _, _, grams in got], [label for label, _, _ in got])
 
 
 def _has_letter(buf: np.ndarray) -> bool:
@@ -178,7 +181,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     lang[i], score[i] = model.labels[k], s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    plain = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return spread(plain).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
