@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.text import pieces
-from strandline.runtime import Scratch
+from strandline.runtime import Scratch, spread
 
 CAPACITY = 1024
 END_ID = 2
@@ -79,8 +79,8 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    plain = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return spread(plain).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_filling(room: int, lengths: list[int], counts: dict[int, int], most: int, nodes: int = SEARCH_NODES) -> list[int]:

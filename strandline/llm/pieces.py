@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.text import pieces as slices
+from strandline.runtime import spread
 
 MARK = "▁"
 #: Words whose ids a worker keeps between blocks; beyond it the table is started anew.
@@ -234,7 +235,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -271,4 +272,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             )
 
     schema = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean"
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))).mapInArrow(run, schema)

@@ -147,6 +147,13 @@ def test_trigram_queries_never_miss():
                 assert len(secret_scan.candidates(query, found, 1)) == 1, (rule.kind, text)
 
 
+def test_a_rule_may_have_any_name(spark):
+    rules = (secret_scan.SecretRule("hex", r"0x[0-9A-F]+", 6), secret_scan.SecretRule("upper", r"[A-Z]+", 5))
+    frame = spark.createDataFrame([(1, "a 0xDEADBEEF b deadbeefdeadbeefdeadbeef0 ABCDEF ABC")], "doc_id bigint, text string")
+    (row,) = secret_scan.find_secrets(frame, rules=rules).collect()
+    assert [(x.kind, x.start, x.end) for x in row.spans] == [("hex", 2, 12), ("upper", 4, 12), ("upper", 41, 47)]
+
+
 def test_redaction_and_odd_rows(spark, odd, nothing):
     assert secret_scan.redacted("ab cd ef", [(0, 2, "x"), (1, 4, "y"), (6, 8, "z")]) == "<secret:x>d <secret:z>"
     out = secret_scan.redact_secrets(odd)
@@ -216,7 +223,8 @@ def test_variable_fields_and_split_leaves(spark):
     assert got == drain(rows, linededup.TemplateSettings())
     assert all(0 in got[i] for i in range(1, 12)) and got[51] == [0] and 50 not in got
     many = spark.createDataFrame([(i, f"a b c tail{'xyz'[i % 3]}{chr(97 + i % 26) * (i // 26 + 1)} end") for i in range(60)], "doc_id bigint, text string")
-    assert linededup.recurring_lines(spark, many, linededup.TemplateSettings(leaf_lines=5)).count() == 0
+    for leaf_lines in (5, 1_000):  # one template, however crowded its leaf counts as
+        assert linededup.recurring_lines(spark, many, linededup.TemplateSettings(leaf_lines=leaf_lines)).count() == 59
 
 
 def test_lines_of_odd_rows(spark, odd, nothing):
@@ -432,7 +440,7 @@ def brute_pseudonym(m):
         return "".join(next(new) if c.isdigit() else c for c in m)
 
     if "@" in m:
-        return "u" + hashlib.sha256(f"k|email|{m.lower()}".encode()).hexdigest()[:12] + "@example.invalid"
+        return "u" + hashlib.sha256(f"k|email|{m.lower()}".encode()).hexdigest()[:32] + "@example.invalid"
     if whole(pseudonyms.IBAN):
         flat = m.replace(" ", "")
         number = lambda t: int("".join(str(int(c, 36)) for c in t)) % 97
@@ -460,7 +468,11 @@ def brute_pseudonym(m):
         return (datetime.datetime(1900, 1, 1) + datetime.timedelta(brute_permuted(day, 17, 4297, "date"))).strftime(form)
     if whole(pseudonyms.SSN):
         bad = m[:3] in ("000", "666") or m[:3] >= "900" or m[4:6] == "00" or m[7:] == "0000"
-        return m if bad else filled(brute_digits(digits, "ssn"))
+        if bad:
+            return m
+        areas = [a for a in range(1, 900) if a != 666]
+        at = brute_permuted((areas.index(int(m[:3])) * 99 + int(m[4:6]) - 1) * 9999 + int(m[7:]) - 1, 898 * 99, 9999, "ssn")
+        return f"{areas[at // 9999 // 99]:03}-{at // 9999 % 99 + 1:02}-{at % 9999 + 1:04}"
     if whole(pseudonyms.PHONE):
         code = 0 if m[0] != "+" else 2 if m[1:].isdigit() else len(re.match(r"\+(\d{1,3})", m)[1])
         return filled(digits[:code] + brute_digits(digits[code:], "phone")) if 6 <= len(digits) - code <= 14 else m
@@ -480,6 +492,26 @@ def test_pseudonyms_equal_plain_replacing(spark, docs, texts):
     assert got == want and sum(want[d] != t for d, t in texts.items()) > 3
 
 
+def test_pseudonyms_of_numbers_stay_valid_and_apart(spark):
+    from pyspark.sql import functions as F
+
+    areas = ["001", "665", "667", "899", "123"]
+    ssns = [f"{a}-{g:02}-{x:04}" for a in areas for g in (1, 50, 99) for x in (1, 77, 9999)]
+    frame = spark.createDataFrame([(f"id {x} ok",) for x in ssns], "text string")
+    made = [r.found[0].pseudonym for r in pseudonyms.pseudonymise(frame, "k").collect()]
+    assert len(set(made)) == len(ssns)
+    assert all(x[:3] not in ("000", "666") and x[:3] < "900" and x[4:6] != "00" and x[7:] != "0000" for x in made)
+    assert all(r.found for r in pseudonyms.pseudonymise(spark.createDataFrame([(x,) for x in made], "text string"), "k").collect())
+    big = [10**17 + 7, 10**18 - 1, 10**18 - 2, 999_999_999_000_000_000, 999_999_998_999_999_999, 123_456_789_987_654_321, 0, 1]
+    out = spark.createDataFrame([(x,) for x in big], "v bigint").select("v", pseudonyms.feistel(F.col("v"), F.lit(10**9), F.lit(10**9), "k", "card").alias("x")).collect()
+    assert {r.v: r.x for r in out} == {x: brute_permuted(x, 10**9, 10**9, "card") for x in big}
+    cards = []
+    for body in ("99999999999999999", "999999999999999999", "100000000000000000", "450000000000000001"):
+        cards.append(body + next(c for c in "0123456789" if luhn(body + c)))
+    made = [r.found[0].pseudonym for r in pseudonyms.pseudonymise(spark.createDataFrame([(f"pay {x}",) for x in cards], "text string"), "k").collect()]
+    assert made == [brute_pseudonym(x) for x in cards] and all(map(luhn, made)) and [len(x) for x in made] == [18, 19, 19, 19]
+
+
 def test_pseudonyms_of_odd_rows(spark, odd, nothing):
     out = pseudonyms.pseudonymise(odd, "k")
     rows = out.collect()
@@ -496,6 +528,22 @@ def test_media_round_trip(spark, docs, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
+def test_media_of_payloads_beyond_one_image(spark, monkeypatch):
+    """Texts of several images, with the images small; and one of real size through the codec."""
+    monkeypatch.setattr(jpegmedia, "MOST_SIDE", 3)
+    rng = np.random.default_rng(2)
+    payloads = [bytes(rng.integers(0, 256, 64 * n, dtype=np.uint8)) for n in (1, 3, 4, 6, 31)]
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in payloads])))
+    stored = jpegmedia.encode_payloads(np.frombuffer(b"".join(payloads), np.uint8), ends)
+    assert [len(jpegmedia.images_of(x)) for x in stored] == [1, 1, 2, 2, 11]
+    assert [b"".join(d for d, _ in jpegmedia._read(jpegmedia.images_of(x))) for x in stored] == payloads
+    monkeypatch.undo()
+    text = "0123456789abcdef" * 100_000
+    frame = spark.createDataFrame([(1, text), (2, "short")], "doc_id bigint, text string")
+    by = {r.doc_id: r for r in jpegmedia.digests(jpegmedia.store(frame)).collect()}
+    assert by[1].payload_bytes == by[1].n_bytes == len(text) and by[1].payload_sha256 == hashlib.sha256(text.encode()).hexdigest() and by[1].feature.count("+") == 3
+
+
 def test_media_of_odd_rows(spark, odd, nothing):
     rows = jpegmedia.digests(jpegmedia.store(odd)).collect()
     by = {r.doc_id: r for r in rows}
@@ -549,19 +597,62 @@ def test_language_of_odd_rows(spark, odd, nothing, docs):
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"} and langid.identify(nothing, model).count() == 0
 
 
+def test_language_draw_is_bounded(spark, monkeypatch):
+    rows = [(None, f"wort {i} und mehr", "de") for i in range(3_000)] + [(5, f"word {i} and more", "en") for i in range(300)] + [(6, "same text", f"l{i % 30}") for i in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    held: list = []
+    monkeypatch.setattr(langid, "fit_model", lambda texts, labels: held.append(labels))
+    monkeypatch.setattr(langid, "SAMPLE_ALL", 60)
+    monkeypatch.setattr(langid, "MOST_LABELS", 20)
+    langid.train(frame, "doc_id", "text", "lang", langid.F.lit(True))
+    assert len(held[0]) <= 60 and len(set(held[0])) == 20 and {"de", "en"} < set(held[0])
+
+
 def brute_quality(t):
     t = t or ""
     w = WORD.findall(t)
     lines = [x for x in t.split("\n") if WORD.search(x)]
     seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
     covered = {i + j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(5)}
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), len(lines)
+    letters = sum(any(c.isalpha() for c in x) for x in w)
+    bare = [x.strip(" \t\n\x0b\x0c\r") for x in lines]
+    bullets, dots = sum(x[0] in "-*•‣◦·" for x in bare), sum(x.endswith(("...", "…")) for x in bare)
+    bad = sum(c in "\x7f\ufffd" or (c < " " and c not in "\t\n\x0b\x0c\r") for c in t)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), len(lines), letters, bullets, dots, bad
 
 
-def verdict(n, chars, symbols, dup, rep, lines):
+def verdict(n, chars, symbols, dup, rep, lines, letters, bullets, dots, bad):
+    if 10 * letters < 6 * n or 50 * bad > chars or (lines >= 5 and (100 * bullets > 90 * lines or 100 * dots > 30 * lines)):
+        return False
     return not (n < 10 or 100 * rep > 20 * n or 10 * symbols > n or chars < 2 * n or chars > 20 * n or 100 * dup > 30 * lines)
 
 
+RULED = [
+    (20, "12 34 56 78 90 ab cd 11 22 33 44 55"), (21, "\n".join(f"- item {c} of the list" for c in "abcdef")), (22, "\n".join(f"line {c} goes on ..." for c in "abcdef") + "\nthe end"),
+    (23, "a fine text of ten words with some bad \x01\x02\ufffd marks"), (24, "\n".join(f"• item {c} of the list…  " for c in "abcd")), (25, "é1 è2 ß3 ½ ² 5 六 7 8 nine ten more words"),
+]
+
+
+def test_a_cascade_makes_only_what_is_needed(spark):
+    frame = spark.createDataFrame(RULED, "doc_id bigint, text string")
+    by = {r.name: r for r in quality.RULES}
+    orders = [["letters", "bullets", "ellipses", "bad_characters"], ["bad_characters", "bullets", "letters", "ellipses"]]
+    made = []
+    for names in orders:
+        order = [by[n] for n in names] + [r for r in quality.RULES if r.name not in names]
+        rows = quality.cascade(frame, order=order).collect()
+        made.append({c: sum(r[c] is not None for r in rows) for c in ("n_letter_words", "n_bullet_lines", "n_ellipsis_lines", "n_bad_chars")})
+        assert {r.doc_id: r.rejected_by is None for r in rows} == {d: verdict(*brute_quality(t)) for d, t in RULED}
+        good = quality.good_documents(frame, order=order)
+        assert {r.doc_id for r in good.collect()} == {d for d, t in RULED if verdict(*brute_quality(t))}
+    # Each is made for the texts that the rules before it left.
+    assert [made[0][c] for c in ("n_letter_words", "n_bullet_lines", "n_ellipsis_lines", "n_bad_chars")] == [6, 5, 4, 3]
+    assert [made[1][c] for c in ("n_bad_chars", "n_bullet_lines", "n_letter_words", "n_ellipsis_lines")] == [6, 5, 4, 3]
+    rules = quality.measured_rules(frame, "text")
+    assert {r.name for r, _, _ in rules} == set(by) and all(cost > 0 for _, cost, _ in rules)
+    assert {r.name: share for r, _, share in rules}["bullets"] == pytest.approx(1 / 6)
+
+
 def test_quality_equals_plain_counting(spark, docs, texts, odd, nothing):
     for frame, want in ((docs, list(texts.items())), (odd, ODD)):
         rows = quality.quality_report(frame).collect()
