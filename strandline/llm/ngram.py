@@ -9,9 +9,10 @@ token stream as small local numbers.
    (contexts, Elias-Fano pointers, successors, 8-bit smoothed log probabilities),
    which is stored as one row of the model's table.  Text that is held out leaves
    no trace in it.
-3. Scores: each block asks the model for its distinct bigrams.  A shard maps its
-   stored trie and answers by successor search within the context; the block backs
-   off to the word's own probability where the trie has no such bigram.
+3. Scores: each block asks the model for its distinct bigrams; questions and training
+   counts travel together.  A shard maps its stored trie and answers by successor
+   search within the context; the block backs off to the word's own probability where
+   the trie has no such bigram.
 
 The number of shards follows the bytes of text, so the work of one shard stays the
 same at any size.  Only distinct keys of a block are sent, packed and compressed, so
@@ -179,7 +180,7 @@ def _codes(log10p: np.ndarray) -> np.ndarray:
 
 def _ask_bigrams(blocks: DataFrame, answers: DataFrame, n: int, v: int, shards: int) -> DataFrame:
     """Kind 0: per block base scores, the stream of places in its list of bigrams, and the code of backing off for each;
-    kind 1: that list, by shard; kind 2: those of them that occur in training text, with their counts, by shard."""
+    kind 1: that list, by shard, with the counts in training text."""
     schema = (
         "kind int, block string, docs array<bigint>, sizes array<int>, known array<bigint>, base array<double>, stream binary, fallback binary, "
         "shard int, contexts binary, successors binary, context_counts binary, lower binary, counts binary"
@@ -215,34 +216,20 @@ def _ask_bigrams(blocks: DataFrame, answers: DataFrame, n: int, v: int, shards:
         c, w, counts, shard = c[order], w[order], counts[order], shard[order]
         lower = _codes(log_p1[w])
         fallback = _codes(np.log10(MU / (total[c] + MU)) - lower / STEPS)
-        seen = np.flatnonzero(counts)
-        asked, trained = _cut(shard), _cut(shard[seen])
-        block = left.column("block")[0].as_py()
-        sent = lambda a, runs: [packed(a[x:y]) for _, x, y in runs]
-        steps = lambda a, runs: [packed(np.diff(a[x:y], prepend=0)) for _, x, y in runs]  # noqa: E731  (nearly all are small)
-        one = {"docs": docs, "sizes": sizes.tolist(), "known": known.tolist(), "base": base.tolist(), "stream": packed(place[stream]), "fallback": packed(fallback)}
-        questions = {"shard": [k for k, _, _ in asked], "contexts": steps(ids[c], asked), "successors": sent(ids[w], asked)}
-        c, w = c[seen], w[seen]
-        learned = {
-            "shard": [k for k, _, _ in trained], "contexts": steps(ids[c], trained), "successors": sent(ids[w], trained),
-            "context_counts": sent(total[c], trained), "lower": sent(lower[seen], trained), "counts": sent(counts[seen], trained),
-        }
-        sizes_of = (1, len(asked), len(trained))
-        columns = {"kind": sum(([k] * m for k, m in enumerate(sizes_of)), []), "block": [block] * sum(sizes_of)}
-        for name in FIELDS.names[2:]:
-            columns[name] = [one.get(name), *questions.get(name, [None] * len(asked)), *learned.get(name, [None] * len(trained))]
-        return pa.table({f.name: pa.array(columns[f.name], f.type) for f in FIELDS})
+        runs = _cut(shard)
+        sent = lambda a: [packed(a[x:y]) for _, x, y in runs]
+        batch = _rows(
+            left.column("block")[0].as_py(), len(runs),
+            [("docs", pa.list_(pa.int64()), docs), ("sizes", pa.list_(pa.int32()), sizes.tolist()), ("known", pa.list_(pa.int64()), known.tolist()),
+             ("base", pa.list_(pa.float64()), base.tolist()), ("stream", pa.binary(), packed(place[stream])), ("fallback", pa.binary(), packed(fallback))],
+            [("shard", pa.int32(), [k for k, _, _ in runs]), ("contexts", pa.binary(), [packed(np.diff(ids[c][x:y], prepend=0)) for _, x, y in runs]),  # differences: nearly all are small
+             ("successors", pa.binary(), sent(ids[w])), ("context_counts", pa.binary(), sent(total[c])), ("lower", pa.binary(), sent(lower)), ("counts", pa.binary(), sent(counts))],
+        )
+        return pa.Table.from_batches([batch])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-FIELDS = pa.schema(
-    [("kind", pa.int32()), ("block", pa.string()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())),
-     ("stream", pa.binary()), ("fallback", pa.binary()), ("shard", pa.int32()), ("contexts", pa.binary()), ("successors", pa.binary()), ("context_counts", pa.binary()),
-     ("lower", pa.binary()), ("counts", pa.binary())]
-)
-
-
 def _keys(contexts: list[bytes], successors: list[bytes]) -> list[np.ndarray]:
     return [np.cumsum(unpacked(c)).astype(np.uint64) << np.uint64(32) | unpacked(w) for c, w in zip(contexts, successors, strict=True)]
 
@@ -253,39 +240,60 @@ def build_trie(contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray,
     return BigramTrie.stored(contexts, successors, _codes(np.log10(p)))
 
 
-def _model(learned: DataFrame) -> DataFrame:
-    """(shard, trie): the stored trie of each shard that has any training bigram."""
+def _asked(trie: bytes | None, keys: np.ndarray) -> np.ndarray:
+    """The codes of the bigrams ``keys`` (context << 32 | successor) in a stored trie, ABSENT for those that it has not."""
+    if trie is None:
+        return np.full(len(keys), ABSENT, np.uint8)
+    mapped = BigramTrie(trie)
+    codes = mapped.lookup(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), ABSENT)
+    mapped.close()
+    return codes
+
+
+_CODES = "kind int, block string, shard int, codes binary, trie binary"
+
+
+def _codes_table(blocks: pa.ChunkedArray, shard: int, codes: list[np.ndarray], tries: list[bytes]) -> pa.Table:
+    n, m = len(codes), len(tries)
+    return pa.table(
+        {
+            "kind": pa.array([1] * m + [0] * n, pa.int32()), "block": pa.array([None] * m + blocks.to_pylist(), pa.string()), "shard": pa.array([shard] * (n + m), pa.int32()),
+            "codes": pa.array([None] * m + [packed(x) for x in codes], pa.binary()), "trie": pa.array(tries + [None] * n, pa.binary()),
+        }
+    )
+
+
+def _model_and_codes(pairs: DataFrame) -> DataFrame:
+    """Kind 1: the stored trie of each shard's training bigrams; kind 0: for each (block, shard) what it answers."""
 
     def run(table: pa.Table) -> pa.Table:
         column = lambda k: table.column(k).to_pylist()
-        keys, first, at = np.unique(np.concatenate(_keys(column("contexts"), column("successors"))), return_index=True, return_inverse=True)
+        each = _keys(column("contexts"), column("successors"))
+        ends = np.cumsum([len(x) for x in each])[:-1]
+        keys, first, at = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+        del each
         gathered = lambda k, kind: np.concatenate([unpacked(x).astype(kind) for x in column(k)])
         counts = np.bincount(at, gathered("counts", np.float64), len(keys))
         context, lower = gathered("context_counts", np.float64)[first], gathered("lower", np.uint8)[first].astype(np.float64)
-        trie = build_trie(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), counts, context, lower)
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "trie": pa.array([trie], pa.binary())})
+        seen = counts > 0
+        learned = keys[seen]
+        trie = build_trie(learned >> np.uint64(32), learned & np.uint64(0xFFFFFFFF), counts[seen], context[seen], lower[seen]) if len(learned) else None
+        del learned, counts, context, lower
+        codes = _asked(trie, keys)
+        return _codes_table(table.column("block"), table.column("shard")[0].as_py(), [codes[x] for x in np.split(at, ends)], [] if trie is None else [trie])
 
-    return learned.groupBy("shard").applyInArrow(run, "shard int, trie binary")
+    return pairs.groupBy("shard").applyInArrow(run, _CODES)
 
 
-def _bigram_codes(asked: DataFrame, model: DataFrame) -> DataFrame:
-    """For each (block, shard): the stored code of each bigram it asked for, ABSENT for those that the model has not."""
+def _codes_of(pairs: DataFrame, model: DataFrame) -> DataFrame:
+    """What another stored ``model`` (shard, trie) of the same words answers to the same questions."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"block": pa.array([], pa.string()), "shard": pa.array([], pa.int32()), "codes": pa.array([], pa.binary())})
         each = _keys(left.column("contexts").to_pylist(), left.column("successors").to_pylist())
-        ends = np.cumsum([len(x) for x in each])[:-1]
-        keys, at = np.unique(np.concatenate(each), return_inverse=True)
-        del each
-        codes = np.full(len(keys), ABSENT, np.uint8)
-        if right.num_rows:
-            trie = BigramTrie(right.column("trie")[0].as_py())
-            codes = trie.lookup(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), ABSENT)
-            trie.close()
-        return pa.table({"block": left.column("block"), "shard": left.column("shard").cast(pa.int32()), "codes": pa.array([packed(codes[x]) for x in np.split(at, ends)], pa.binary())})
+        trie = right.column("trie")[0].as_py() if right.num_rows else None
+        return _codes_table(left.column("block"), left.column("shard")[0].as_py() if each else 0, [_asked(trie, x) for x in each], [])
 
-    return asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(run, "block string, shard int, codes binary")
+    return pairs.select("block", "shard", "contexts", "successors").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(run, _CODES)
 
 
 def _scores(blocks: DataFrame, answers: DataFrame, n: int) -> DataFrame:
@@ -313,18 +321,19 @@ def _scores(blocks: DataFrame, answers: DataFrame, n: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Fitted:
-    """The stored ``model`` (shard, trie) with its totals, and what the blocks of the corpus ask of it."""
+    """The stored ``model`` (shard, trie) with its totals, what the blocks of the corpus ask, and what it answers."""
 
     scratch: Scratch
     model: DataFrame
-    asked: DataFrame
+    pairs: DataFrame
+    codes: DataFrame
     streams: DataFrame
     tokens: int
     kinds: int
 
 
 def fit(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> Fitted:
-    """Learn from the texts that are ``in_training``; read all texts into blocks that can ask the model."""
+    """Learn from the texts that are ``in_training``, and ask the model for all texts."""
     scratch = Scratch(spark, "ngram")
     plain = spread(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
@@ -334,16 +343,16 @@ def fit(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     scratch.drop("blocks/kind=1")
     sums = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
     rows = _ask_bigrams(streams.select("block", "docs", "sizes", "stream"), words.select("block", "shard", "totals", "ids"), sums["n"], sums["v"], shards)
-    streams, asked, learned = scratch.split("asked", rows, "kind", [0, 1, 2])
+    streams, pairs = scratch.split("asked", rows, "kind", [0, 1])
     scratch.drop("blocks", "words")
-    model = scratch.put("model", _model(learned.select("shard", "contexts", "successors", "context_counts", "lower", "counts")))
-    scratch.drop("asked/kind=2")
-    return Fitted(scratch, model, asked.select("block", "shard", "contexts", "successors"), streams.select("block", "docs", "sizes", "known", "base", "stream", "fallback"), sums["n"], sums["v"])
+    pairs = pairs.select("block", "shard", "contexts", "successors", "context_counts", "lower", "counts")
+    codes, model = scratch.split("answered", _model_and_codes(pairs), "kind", [0, 1])
+    return Fitted(scratch, model.select("shard", "trie"), pairs, codes.select("block", "shard", "codes"), streams.select("block", "docs", "sizes", "known", "base", "stream", "fallback"), sums["n"], sums["v"])
 
 
 def score(fitted: Fitted, model: DataFrame | None = None) -> DataFrame:
     """Scores of all texts of ``fitted`` under its model, or under another table (shard, trie) of the same words."""
-    codes = fitted.scratch.put("codes", _bigram_codes(fitted.asked, fitted.model if model is None else model))
+    codes = fitted.codes if model is None else _codes_of(fitted.pairs, model).select("block", "shard", "codes")
     return _scores(fitted.streams, codes, fitted.tokens)
 
 
@@ -356,4 +365,6 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     gives an empty result.  Only the two named columns are read; long texts are
     scored whole.  OverflowError where word ids would pass 32 bits.
     """
-    return score(fit(spark, docs, id_col, text_col, block_bytes, shard_bytes))
+    fitted = fit(spark, docs, id_col, text_col, block_bytes, shard_bytes)
+    fitted.scratch.drop("asked/kind=1")
+    return score(fitted)
