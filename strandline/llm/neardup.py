@@ -323,7 +323,7 @@ def linked_rows(spark: SparkSession, docs: DataFrame, settings: SketchSettings =
 
     labelled = classes.select("node", "doc_id").join(linked.hint("merge"), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     labelled = scratch.put("labelled", labelled)
-    smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    smallest = scratch.put("smallest", labelled.groupBy("component").agg(F.min("doc_id").alias("smallest")))
     labelled = scratch.put("named", labelled.drop("doc_id").join(smallest.hint("merge"), "component"))
     scratch.drop("parts", "classes", "starred", "weighed", "representatives")
     known = F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")
