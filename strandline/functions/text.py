@@ -44,10 +44,14 @@ def stem(token: Column) -> Column:
     )
 
 
+def with_stems(found: Column) -> Column:
+    """Sorted distinct tokens of an array and their stems; name a column here, as it is read twice."""
+    return F.array_sort(F.array_distinct(F.concat(found, F.transform(found, stem))))
+
+
 def token_set(text: Column) -> Column:
     """Sorted distinct tokens and their stems."""
-    found = tokens(text)
-    return F.array_sort(F.array_distinct(F.concat(found, F.transform(found, stem))))
+    return with_stems(tokens(text))
 
 
 def term_weight(files: Column, df: Column) -> Column:
@@ -72,11 +76,6 @@ def route_path(url: Column) -> Column:
     return F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
 
 
-def numbers_as_parameters(path: Column) -> Column:
-    """Whole segments of digits become parameters (an addition of this library)."""
-    return F.regexp_replace(path, "/[0-9]+(?=/|$)", "/:")
-
-
 def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: x != "")
 
@@ -102,6 +101,37 @@ def is_test_path(path: Column) -> Column:
     return low.rlike(r"(^|/)(tests?|__tests__|spec|specs|e2e|testdata)/") | low.rlike(r"(^|/)test_[^/]*\.py$") | low.rlike(r"[._-](test|spec|tests)\.[a-z]+$") | low.rlike(r"_test\.[a-z]+$")
 
 
+#: Languages that call each other's symbols; any other language is a family of its own.
+FAMILIES = {"javascript": "js", "typescript": "js", "vue": "js"}
+
+
+def language_family(language: Column) -> Column:
+    out = language
+    for lang, group in FAMILIES.items():
+        out = F.when(language == lang, group).otherwise(out)
+    return out
+
+
+def declaration(line: Column) -> Column:
+    """A line without the white space that only formats: one space stays between two characters of words."""
+    word = r"[\p{L}\p{Nd}_$]"
+    bare = F.regexp_replace(line, rf"(?<!{word})\s+|\s+(?!{word})|^\s+|\s+$", "")
+    return F.regexp_replace(bare, r"\s+", " ")
+
+
+def term_mask(held: Column, terms: list[str]) -> Column:
+    """Which of the first 64 terms the array ``held`` has, as bits."""
+    out = F.lit(0).cast("bigint")
+    for i, t in enumerate(terms[:64]):
+        out = out.bitwiseOR(F.when(F.array_contains(held, t), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    return out
+
+
+def age_hours(indexed_at: Column, now: Column) -> Column:
+    """Hours between two instants written as RFC 3339 text or given as such; null where either is none."""
+    return (F.unix_micros(F.try_to_timestamp(now.cast("string"))) - F.unix_micros(F.try_to_timestamp(indexed_at.cast("string")))) / F.lit(3.6e9)
+
+
 def unresolved_name(target: Column) -> Column:
     """The simple name of an unresolved target: what stands after the last ``#``, ``->``, ``::`` or ``.``."""
     plain = F.regexp_replace(target, "^unresolved:", "")
@@ -128,6 +158,11 @@ def branches(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"\b(?:if|elif|else if|for|while|case|catch|except)\b|&&|\|\||\?\?"))
 
 
+def structured_estimate(text: Column) -> Column:
+    """The estimate for JSON text: a fifth more than for plain text, rounded up."""
+    return F.ceil(F.ceil(F.length(text) / 4) * F.lit(1.2)).cast("int")
+
+
 def token_estimate(text: Column) -> Column:
     """A model's tokens by length: a quarter of the characters, rounded up."""
     return F.ceil(F.length(text) / 4).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.text import unresolved_name
+from strandline.functions.text import language_family, unresolved_name
 from strandline.model import confidence_of, rank
 from strandline.operators.traverse import reachable, spread_max, weakest_paths
 
@@ -48,10 +48,10 @@ def trace(edges: DataFrame, targets: DataFrame, inbound: bool = True, types: tup
 
 
 def possible_callers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, callers, calls): unresolved calls whose simple name is the node's, by nodes that are no files."""
-    files = nodes.filter("kind = 'file'").select(F.col("id").alias("src"))
-    open_calls = edges.filter("type = 'calls' and confidence = 'unresolved'").join(files, "src", "left_anti").select("src", unresolved_name(F.col("dst")).alias("name"))
-    return nodes.select("id", "name").join(open_calls, "name").groupBy("id").agg(F.count_distinct("src").alias("callers"), F.count(F.lit(1)).alias("calls"))
+    """(id, callers, calls): unresolved calls whose simple name is the node's, by nodes of its language family that are no files."""
+    callers = nodes.filter("kind <> 'file'").select(F.col("id").alias("src"), language_family(F.col("language")).alias("family"))
+    open_calls = edges.filter("type = 'calls' and confidence = 'unresolved'").select("src", unresolved_name(F.col("dst")).alias("name")).join(callers, "src")
+    return nodes.select("id", "name", language_family(F.col("language")).alias("family")).join(open_calls, ["name", "family"]).groupBy("id").agg(F.count_distinct("src").alias("callers"), F.count(F.lit(1)).alias("calls"))
 
 
 def tested(nodes: DataFrame, edges: DataFrame, tests: Column, hops: int = TEST_HOPS) -> DataFrame:
@@ -70,6 +70,25 @@ def tested(nodes: DataFrame, edges: DataFrame, tests: Column, hops: int = TEST_H
     return met.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").select("node", (F.col("depth") - 1).alias("depth"))
 
 
+def tests_for(nodes: DataFrame, edges: DataFrame, targets: DataFrame, tests: Column, hops: int = TEST_HOPS) -> DataFrame:
+    """(target, test, depth): the tests that reach each target (node) along calls, nearest first; never through files."""
+    files = nodes.filter("kind = 'file'").select(F.col("id").alias("node"))
+    back = edges.filter("type = 'calls'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    met = reachable(back, targets.select("node"), hops, files)
+    return met.join(nodes.filter(tests).select(F.col("id").alias("node")), "node", "left_semi").select(F.col("start").alias("target"), F.col("node").alias("test"), "depth")
+
+
+def test_caller_groups(nodes: DataFrame, edges: DataFrame, targets: DataFrame, tests: Column) -> DataFrame:
+    """(target, file, count, first_line, lines, names, truncated): direct test callers of each target (node) by their file.
+
+    ``names`` are the first two in order; ``truncated`` says that there are more calls or lines than names.
+    """
+    met = edges.filter("type = 'calls'").join(targets.select(F.col("node").alias("target")), F.col("dst") == F.col("target"))
+    met = met.select("target", "src", "line").join(nodes.filter(tests).select(F.col("id").alias("src"), "file", "name"), "src")
+    found = met.groupBy("target", "file").agg(F.count(F.lit(1)).alias("count"), F.min("line").alias("first_line"), F.array_sort(F.collect_set("line")).alias("lines"), F.slice(F.array_sort(F.collect_set("name")), 1, 2).alias("names"))
+    return found.withColumn("truncated", (F.col("count") > F.size("names")) | (F.size("lines") > F.size("names")))
+
+
 def untested(nodes: DataFrame, edges: DataFrame, tests: Column, kinds: tuple[str, ...], hops: int = TEST_HOPS) -> DataFrame:
     """Nodes of ``kinds`` that are no tests and that no test reaches."""
     reached = tested(nodes, edges, tests, hops).select(F.col("node").alias("id"))

@@ -5,18 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.runtime import Scratch
+
+
+#: Lines of one bucket: lines and ranges meet by file and bucket, so a large file is no single key.
+BUCKET = 256
+
+
+def _in_ranges(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``lines`` (file, line, ...) joined with the ``ranges`` (file, start_line, end_line, ...) that hold them."""
+    bucket = lambda c: F.floor(F.col(c) / BUCKET).cast("int")
+    cut = ranges.withColumn("bucket", F.explode(F.sequence(bucket("start_line"), F.greatest(bucket("start_line"), bucket("end_line")))))
+    return lines.withColumn("bucket", bucket("line")).join(cut, ["file", "bucket"]).filter("line between start_line and end_line").drop("bucket")
+
 
 def containing_symbol(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """(file, line, id): the innermost node around each line: the latest start, then the least id."""
-    met = lines.select("file", "line").distinct().join(nodes.select("file", "start_line", "end_line", "id"), "file").filter("line between start_line and end_line")
+    met = _in_ranges(lines.select("file", "line").distinct(), nodes.select("file", "start_line", "end_line", "id"))
     best = met.groupBy("file", "line").agg(F.min(F.struct((-F.col("start_line")).alias("s"), "id")).alias("x"))
     return best.select("file", "line", F.col("x.id").alias("id"))
 
 
 def changed_symbols(nodes: DataFrame, hunks: DataFrame) -> DataFrame:
     """Nodes that a changed range of lines touches."""
-    h = hunks.select("file", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
-    touched = nodes.join(h, "file").filter("start_line <= to_line and end_line >= from_line").select("id").distinct()
+    bucket = lambda c: F.floor(F.col(c) / BUCKET).cast("int")
+    cut = lambda df, a, b: df.withColumn("bucket", F.explode(F.sequence(bucket(a), F.greatest(bucket(a), bucket(b)))))
+    h = cut(hunks.select("file", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line")), "from_line", "to_line")
+    own = cut(nodes.select("id", "file", "start_line", F.greatest("start_line", "end_line").alias("end_line")), "start_line", "end_line")
+    touched = own.join(h, ["file", "bucket"]).filter("start_line <= to_line and end_line >= from_line").select("id").distinct()
     return nodes.join(touched, "id", "left_semi")
 
 
@@ -27,7 +43,7 @@ def leaf_symbols(nodes: DataFrame) -> DataFrame:
 
 def coverage_verdict(nodes: DataFrame, coverage: DataFrame) -> DataFrame:
     """(id, known, tested): whether any line of a node is recorded, and whether any was run."""
-    met = nodes.select("id", "file", "start_line", "end_line").join(coverage, "file").filter("line between start_line and end_line")
+    met = _in_ranges(coverage, nodes.select("id", "file", "start_line", "end_line"))
     found = met.groupBy("id").agg(F.max(F.col("hits") > 0).alias("tested"))
     return nodes.select("id").join(found, "id", "left").select("id", F.col("tested").isNotNull().alias("known"), F.coalesce("tested", F.lit(False)).alias("tested"))
 
@@ -42,9 +58,24 @@ def merged_ranges(ranges: DataFrame, gap: int = 1) -> DataFrame:
 
 
 def within_budget(items: DataFrame, order: list[str], cost: str, budget: int) -> DataFrame:
-    """The first of ``items`` in ``order`` whose running cost stays within ``budget`` (a report for a reader: small by nature)."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("spent", F.sum(cost).over(w)).filter(F.col("spent") <= budget)
+    """The first of ``items`` in ``order`` whose running cost stays within ``budget``.
+
+    Items are dealt by ranges of the order; the cost of the ranges before (one number for each range reaches the
+    driver) is where a range's own running sum begins, so no task sees all items.
+    """
+    scratch = Scratch(items.sparkSession, "budget")
+    dealt = scratch.put("items", items.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before, spent = {}, 0
+    for r in dealt.groupBy("_range").agg(F.sum(cost).alias("c")).orderBy("_range").collect():
+        if spent <= budget:
+            before[r["_range"]] = spent
+        spent += r["c"] or 0
+    if not before:
+        return dealt.drop("_range").withColumn("spent", F.lit(0).cast("bigint"))
+    start = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("_range")]
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = dealt.filter(F.col("_range").isin(*before)).withColumn("spent", F.sum(cost).over(w) + start)
+    return within.filter(F.col("spent") <= budget).drop("_range")
 
 
 def source_slice(lines: DataFrame, file: str, start: int, end: int) -> DataFrame:

@@ -6,10 +6,10 @@ import math
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.text import one_decimal, shape, unresolved_name
+from strandline.functions.text import age_hours, language_family, one_decimal, shape, unresolved_name
 from strandline.model import CONFIDENCES
 from strandline.runtime import Scratch
 
@@ -38,14 +38,17 @@ def used(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dead_code(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...], include_exported: bool = False) -> DataFrame:
     """(id, name, file, uncertain): nodes of ``kinds`` that nothing uses.
 
-    ``uncertain`` marks those that an unresolved call of the same name may mean.  A self call counts as use.
+    ``uncertain`` marks those that an unresolved call of the same name, from a caller of the same language
+    family, may mean.  A self call counts as use.
     """
     some = nodes.filter(F.col("kind").isin(*kinds))
     if not include_exported:
         some = some.filter(~F.col("exported"))
-    open_names = edges.filter("type = 'calls' and confidence = 'unresolved'").select(unresolved_name(F.col("dst")).alias("name"), F.lit(True).alias("hit")).distinct()
-    unused = some.join(used(nodes, edges), "id", "left_anti")
-    return unused.join(open_names, "name", "left").select("id", "name", "file", F.coalesce("hit", F.lit(False)).alias("uncertain"))
+    callers = nodes.select(F.col("id").alias("src"), language_family(F.col("language")).alias("family"))
+    open_calls = edges.filter("type = 'calls' and confidence = 'unresolved'").select("src", unresolved_name(F.col("dst")).alias("name")).distinct()
+    open_names = open_calls.join(callers, "src").select("name", "family", F.lit(True).alias("hit")).distinct()
+    unused = some.join(used(nodes, edges), "id", "left_anti").withColumn("family", language_family(F.col("language")))
+    return unused.join(open_names, ["name", "family"], "left").select("id", "name", "file", F.coalesce("hit", F.lit(False)).alias("uncertain"))
 
 
 def shapes(lines: DataFrame, least_lines: int = SHAPE_LINES, least_chars: int = SHAPE_CHARS) -> DataFrame:
@@ -75,6 +78,34 @@ def index_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     return out.filter("change is not null")
 
 
+def edge_diff(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(src, dst, type, change): edges that only one of two graphs has; where an edge stands does not count."""
+    key = ["src", "dst", "type"]
+    a, b = base.select(*key).distinct(), head.select(*key).distinct()
+    return b.join(a, key, "left_anti").withColumn("change", F.lit("added")).union(a.join(b, key, "left_anti").withColumn("change", F.lit("removed")))
+
+
+def doctor(nodes: DataFrame, edges: DataFrame, files: DataFrame, indexed_at: Column | None = None, now: Column | None = None) -> DataFrame:
+    """(what, name, count) rows of a graph's health.
+
+    Files by language, status and parser (``files``: path, language, parse_status, parser), symbols by kind and by
+    language, edges by type, confidence and reason; the files that did not parse; and, where ``indexed_at`` is given,
+    the whole hours since, with ``old`` for more than a day.
+    """
+    def by(rows: DataFrame, what: str, column: str) -> DataFrame:
+        return rows.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("count")).select(F.lit(what).alias("what"), "name", "count")
+
+    out = by(files, "file language", "language").union(by(files, "file status", "parse_status")).union(by(files, "file parser", "parser"))
+    out = out.union(by(nodes, "symbol kind", "kind")).union(by(nodes, "symbol language", "language"))
+    out = out.union(edge_counts(edges).select(F.concat(F.lit("edge "), "what"), "name", "edges"))
+    failed = files.filter("parse_status = 'error'").select(F.lit("parse failure"), "path", F.lit(1).cast("bigint"))
+    out = out.union(failed)
+    if indexed_at is not None:
+        hours = F.floor(age_hours(indexed_at, F.current_timestamp() if now is None else now)).cast("bigint")
+        out = out.union(nodes.sparkSession.range(1).select(F.lit("age in hours"), F.when(hours > 24, "old").otherwise("fresh"), hours))
+    return out
+
+
 def edge_counts(edges: DataFrame) -> DataFrame:
     """(what, name, edges): by type, by confidence and by reason of unresolved edges, in one pass."""
     rows = edges.select("type", "confidence", F.when(F.col("confidence") == "unresolved", F.col("reason")).alias("reason"))
@@ -107,8 +138,8 @@ def god_files(nodes: DataFrame, least: int = GOD_FILE) -> DataFrame:
     return nodes.filter("kind <> 'file'").groupBy("file").agg(F.count(F.lit(1)).alias("symbols")).filter(F.col("symbols") >= least)
 
 
-def report_card(nodes: DataFrame, edges: DataFrame, dead: DataFrame, untested_nodes: DataFrame, clusters: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """One row of totals and shares."""
+def report_card(nodes: DataFrame, edges: DataFrame, dead: DataFrame, untested_nodes: DataFrame, clusters: DataFrame, kinds: tuple[str, ...], files: DataFrame | None = None) -> DataFrame:
+    """One row of totals and shares; ``files`` (path, parse_status) gives the files that did not parse, none without it."""
     total = edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("confidence") == "unresolved").alias("unresolved"))
     some = F.col("kind").isin(*kinds)
     of_nodes = nodes.agg(
@@ -119,12 +150,14 @@ def report_card(nodes: DataFrame, edges: DataFrame, dead: DataFrame, untested_no
     of_dead = dead.agg(F.count_if(~F.col("uncertain")).alias("dead_code"), F.count_if(F.col("uncertain")).alias("dead_code_uncertain"))
     of_tests = untested_nodes.agg(F.count(F.lit(1)).alias("untested"))
     of_clusters = clusters.agg(F.count(F.lit(1)).alias("duplication_clusters"))
+    of_files = (nodes.select(F.lit("").alias("parse_status")) if files is None else files).agg(F.count_if(F.col("parse_status") == "error").alias("parse_failures"))
+    tables = (total, of_nodes, of_dead, of_tests, of_clusters, of_files)
     # Tables of one row each, brought together as (metric, value) rows of one aggregate.
     flat = None
-    for one in (total, of_nodes, of_dead, of_tests, of_clusters):
+    for one in tables:
         rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("bigint").alias("value")) for c in one.columns])).alias("x")).select("x.*")
         flat = rows if flat is None else flat.union(rows)
-    names = [c for one in (total, of_nodes, of_dead, of_tests, of_clusters) for c in one.columns]
+    names = [c for one in tables for c in one.columns]
     row = flat.agg(*[F.max(F.when(F.col("metric") == c, F.col("value"))).alias(c) for c in names])
     share = lambda a, b: F.when(F.col(b) > 0, one_decimal(F.col(a) * F.lit(100.0) / F.col(b))).otherwise(F.lit(0.0))
     return row.withColumns({"unresolved_pct": share("unresolved", "edges"), "untested_pct": share("untested", "testable")})

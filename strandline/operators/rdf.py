@@ -26,7 +26,10 @@ def resolve_terms(terms: DataFrame, queries: DataFrame) -> DataFrame:
 def compact_iris(iris: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(iri, term): the longest base first, then the longest prefix, then its name; the rest must be a valid local name."""
     p = prefixes.select("prefix", F.col("iri").alias("base"))
-    met = iris.select("iri").join(p, F.col("iri").startswith(F.col("base")) & (F.length("iri") > F.length("base")))
+    # Bases have few lengths: an IRI meets them by its beginnings of those lengths.
+    sizes = [r["n"] for r in p.select(F.length("base").alias("n")).distinct().collect()]
+    begins = F.filter(F.array(*[F.when(F.length("iri") > n, F.substring("iri", 1, n)) for n in sizes]).cast("array<string>"), lambda x: x.isNotNull())
+    met = iris.select("iri", F.explode(begins).alias("base")).join(p, "base")
     local = F.substr("iri", F.length("base") + 1)
     good = met.withColumn("local", local).filter(F.col("local").rlike(_LOCAL))
     best = good.groupBy("iri").agg(F.min(F.struct((-F.length("base")).alias("b"), (-F.length("prefix")).alias("p"), "prefix", "local")).alias("x"))
@@ -54,6 +57,74 @@ def containing_shapes(shapes: DataFrame, path: str) -> DataFrame:
     return shapes.filter(F.exists("properties", lambda p: p["path"] == path))
 
 
+def rank_candidates(candidates: DataFrame) -> DataFrame:
+    """Terms (iri, local_name, ...) that a query may mean, well-formed ones first, then shorter IRIs, then by name."""
+    return candidates.orderBy(F.desc(well_formed(F.col("iri"), F.col("local_name"))), F.length("iri"), "iri")
+
+
+def term_edges(edges: DataFrame, term_id: str) -> DataFrame:
+    """Edges that start or end at a term, or whose target holds its id."""
+    return edges.filter((F.col("src") == term_id) | F.contains("dst", F.lit(term_id)))
+
+
+def term_counts(terms: DataFrame, references: DataFrame, edges: DataFrame, term_ids: DataFrame, weak: bool = False) -> DataFrame:
+    """(id, usages, references, edges, status): how often each term (id) is used, referred to and linked; not_found without any."""
+    refs = references if weak else references.filter("confidence <> 'weak'")
+    used = terms.select("id", F.explode("locations").alias("x")).select("id", F.struct("x.file", "x.start_line").alias("x")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("usages"))
+    named = refs.groupBy(F.col("term_id").alias("id")).agg(F.count(F.lit(1)).alias("references"))
+    ends = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("edges"))
+    met = term_ids.select("id").join(used, "id", "left").join(named, "id", "left").join(ends, "id", "left").na.fill(0, ["usages", "references", "edges"])
+    return met.withColumn("status", F.when(F.col("usages") + F.col("references") + F.col("edges") > 0, "found").otherwise("not_found"))
+
+
+def grouped_by_file(traced: DataFrame, limit: int = 50) -> DataFrame:
+    """(file, places): what ``trace_term`` gives, ``limit`` places at most, listed by file."""
+    return traced.limit(limit).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "kind", "confidence"))).alias("places"))
+
+
+def find_references(terms: DataFrame, references: DataFrame, nodes: DataFrame, edges: DataFrame, query: str, weak: bool = False) -> tuple[str, DataFrame]:
+    """(status, (file, line, kind, confidence, via)): references to a term; to a symbol's calls where no term has the name.
+
+    Several terms, or several symbols, are ambiguous and give the candidates' ids as ``via`` with no place.
+    """
+    from strandline.operators.lookup import find_symbols
+
+    spark = terms.sparkSession
+    schema = "file string, line int, kind string, confidence string, via string"
+    tiers = (F.col("iri") == query, F.col("term") == query, F.col("local_name") == query)
+    found: list = []
+    for tier in tiers:
+        found = terms.filter(tier).select("id").limit(50).collect()
+        if found:
+            break
+    if len(found) > 1:
+        return "ambiguous", spark.createDataFrame([(None, None, "term", None, r["id"]) for r in found], schema)
+    if found:
+        traced = trace_term(terms, references, found[0]["id"], weak)
+        linked = term_edges(edges, found[0]["id"]).select("file", "line", "type", "confidence")
+        rows = traced.filter("kind <> 'definition'").select("file", "line", "kind", "confidence")
+        if not traced.isEmpty() or not linked.isEmpty():
+            return "found", rows.withColumn("via", F.lit(found[0]["id"]))
+    symbols = find_symbols(nodes, query).select("id").limit(50).collect()
+    if len(symbols) != 1:
+        status = "ambiguous" if symbols else "not_found"
+        return status, spark.createDataFrame([(None, None, "symbol", None, r["id"]) for r in symbols], schema)
+    calls = edges.filter((F.col("dst") == symbols[0]["id"]) & (F.col("type") == "calls"))
+    return "found", calls.select("file", "line", F.lit("call").alias("kind"), "confidence", F.lit(symbols[0]["id"]).alias("via")).distinct()
+
+
+def inspect_term(terms: DataFrame, references: DataFrame, lines: DataFrame, term_id: str, context: int = 2, limit: int = 10) -> DataFrame:
+    """(file, start_line, end_line, why): where to read about a term: its references, and lines with a name that code derives from it."""
+    row = terms.filter(F.col("id") == term_id).select("prefix", "local_name").first()
+    if row is None:
+        raise ValueError(f"no term {term_id!r}")
+    refs = trace_term(terms, references, term_id).filter("kind <> 'definition'").select("file", "line", F.lit("reference").alias("why"))
+    names = "|".join(derived_identifiers(row["prefix"] or "", row["local_name"]))
+    hits = lines.filter(F.col("text").rlike(rf"(?<![A-Za-z0-9_])(?:{names})(?![A-Za-z0-9_])")).select("file", "line", F.lit("implementation").alias("why"))
+    best = hits.orderBy("file", "line").limit(limit).unionByName(refs.orderBy("file", "line").limit(limit))
+    return best.groupBy("file", "line").agg(F.min("why").alias("why")).select("file", F.greatest(F.col("line") - context, F.lit(1)).alias("start_line"), (F.col("line") + context).alias("end_line"), "why")
+
+
 def list_terms(terms: DataFrame, prefix: str | None = None) -> DataFrame:
     return (terms if prefix is None else terms.filter(F.col("prefix") == prefix)).orderBy("term")
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.model import CONFIDENCES
 from strandline.runtime import Scratch
 
 
@@ -27,11 +26,13 @@ def reachable(edges: DataFrame, starts: DataFrame, rounds: int, through: DataFra
     for depth in range(1, rounds + 1):
         front = newest if through is None else newest.join(through, "node", "left_anti")
         met = front.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        newest = scratch.put(f"d{depth}", met.join(_union(layers).select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if newest.isEmpty():
-            break
+        newest = met.join(_union(layers).select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        if depth < rounds:  # the last layer is read once, by the caller
+            newest = scratch.put(f"d{depth}", newest)
+            if newest.isEmpty():
+                break
         layers.append(newest)
-    return _union(layers).filter("depth > 0")
+    return _union(layers[1:]) if len(layers) > 1 else layers[0].filter("depth > 0")
 
 
 def _union(layers: list[DataFrame]) -> DataFrame:
@@ -54,11 +55,13 @@ def weakest_paths(edges: DataFrame, starts: DataFrame, rounds: int) -> DataFrame
     for depth in range(1, rounds + 1):
         met = newest.join(steps, F.col("node") == F.col("dst")).groupBy("start", F.col("src").alias("found")).agg(F.min(F.greatest("rank", "weight")).alias("rank"))
         met = met.withColumnRenamed("found", "node").join(_union(layers).select("start", "node"), ["start", "node"], "left_anti")
-        newest = scratch.put(f"d{depth}", met.select("start", "node", F.lit(depth).alias("depth"), "rank"))
-        if newest.isEmpty():
-            break
+        newest = met.select("start", "node", F.lit(depth).alias("depth"), "rank")
+        if depth < rounds:
+            newest = scratch.put(f"d{depth}", newest)
+            if newest.isEmpty():
+                break
         layers.append(newest)
-    return _union(layers).filter("depth > 0")
+    return _union(layers[1:]) if len(layers) > 1 else layers[0].filter("depth > 0")
 
 
 def spread_max(edges: DataFrame, values: DataFrame, rounds: int, combine: Column) -> DataFrame:
@@ -76,7 +79,3 @@ def spread_max(edges: DataFrame, values: DataFrame, rounds: int, combine: Column
         scratch.drop(f"r{k - 1}") if k > 1 else None
         state = state_after
     return state
-
-
-def rank_name(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in CONFIDENCES]), rank)

@@ -11,7 +11,7 @@ from strandline.functions import text as fn
 from strandline.operators import impact, intervals, quality, rank, rdf, routes, search, semantic, summary
 from strandline.operators.traverse import reachable
 from strandline.plans.binder import query_graph
-from strandline.runtime import table
+from strandline.runtime import Scratch, table
 from strandline.sources.graph_view import GraphView
 from strandline.streaming import journal, windows
 
@@ -32,8 +32,13 @@ EDGES = f"""{CALLS}, edges as (select * from calls
   union all select 'customer:' || o_custkey, 'order:' || o_orderkey, 'places', 'exact', '', 1 from orders
   union all select 'order:' || l_orderkey, 'part:' || l_partkey, 'includes', {CONFIDENCE}, '', l_linenumber::int from lineitem
   union all select 'supplier:' || l_suppkey, 'part:' || l_partkey, 'supplies', {CONFIDENCE}, '', l_linenumber::int from lineitem)"""
-#: A thin slice of the calls, so that some parts stay unused and untested.
-THIN = "thin as (select * from calls where line = 1 and confidence in ('exact', 'unresolved'))"
+#: Parts and places as nodes with parents; calls, and customers that place orders, as edges.
+NODES = f"""{PARTS}, nodes as (select id, name, kind, language, file, exported, 'file:' || split_part(file, '/', 1) as parent_id from parts
+  union all select 'region:' || r_regionkey, r_name, 'region', '', 'geo', false, '' from region
+  union all select 'nation:' || n_nationkey, n_name, 'nation', '', 'geo', false, 'region:' || n_regionkey from nation
+  union all select 'customer:' || c_custkey, c_name, 'customer', c_mktsegment, 'people', false, 'nation:' || c_nationkey from customer
+  union all select 'supplier:' || s_suppkey, s_name, 'supplier', '', 'people', false, 'nation:' || s_nationkey from supplier
+  union all select 'order:' || o_orderkey, o_orderkey::varchar, 'order', o_orderpriority, 'orders', false, 'customer:' || o_custkey from orders)"""
 RANK = "case confidence when 'exact' then 1 when 'scoped' then 2 when 'heuristic' then 3 else 4 end"
 NAME_OF = "['exact', 'scoped', 'heuristic', 'unresolved'][{}]"
 DOC_LINES = "lines as (select doc_id as file, i as line, t[i] as text from (select doc_id, t, unnest(range(1, len(t) + 1)) as i from (select doc_id, string_split(text, chr(10)) as t from documents)))"
@@ -145,72 +150,73 @@ def trace_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.trace(GraphView(spark, sf_dir).calls, _starts(spark, sf_dir, 100), inbound=False)
 
 
-@query("possible_callers", f"""with {PARTS}, {CALLS} select id, count(distinct src) as callers, count(*) as calls from parts join calls on calls.confidence = 'unresolved' and dst = 'unresolved:' || name group by 1""")
+@query("possible_callers", f"""with {PARTS}, {CALLS} select p.id, count(distinct src) as callers, count(*) as calls from parts p join calls on calls.confidence = 'unresolved' and dst = 'unresolved:' || p.name
+join parts c on c.id = src and c.language = p.language group by 1""")
 def possible_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GraphView(spark, sf_dir)
     return impact.possible_callers(g.parts, g.calls)
 
 
-def _thin(g: GraphView) -> DataFrame:
-    return g.calls.filter("line = 1 and confidence in ('exact', 'unresolved')")
+_REACHED = f"""{PARTS}, {CALLS}, tests as (select id from parts where is_test), steps as (select distinct src, dst from calls where confidence <> 'unresolved'),
+walk as (select id, 0 as depth from tests union select dst, depth + 1 from walk join steps on src = id where depth < 6),
+reached as (select id, min(depth) as depth from walk where id not in (select id from tests) group by 1)"""
 
 
-_REACHED = f"""{PARTS}, {CALLS}, {THIN}, tests as (select id from parts where is_test),
-one as (select distinct dst as id from thin join tests on src = id where dst in (select id from parts)),
-two as (select distinct dst as id from thin join one on src = id where dst in (select id from parts)),
-reached as (select id, min(depth) as depth from (select id, 1 as depth from one union all select id, 2 from two) where id not in (select id from tests) group by 1)"""
-
-
-@query("tests_reach", f"with {_REACHED} select id as node, depth from reached")
+@query("tests_reach", f"with recursive {_REACHED} select id as node, depth from reached")
 def tests_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GraphView(spark, sf_dir)
-    return impact.tested(g.parts, _thin(g), F.col("is_test"), 2)
+    return impact.tested(g.parts, g.calls, F.col("is_test"))
 
 
-@query("untested_symbols", f"with {_REACHED} select id, name, file from parts where not is_test and id not in (select id from reached)")
+@query("untested_symbols", f"with recursive {_REACHED} select id, name, file from parts where not is_test and id not in (select id from reached)")
 def untested_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GraphView(spark, sf_dir)
-    return impact.untested(g.parts, _thin(g), F.col("is_test"), ("part",), 2).select("id", "name", "file")
+    return impact.untested(g.parts, g.calls, F.col("is_test"), ("part",)).select("id", "name", "file")
 
 
 def _rounds(n: int) -> str:
-    out = [f"with {PARTS}, {CALLS}, {THIN}, v0 as (select id, loop_depth as v from parts)"]
+    out = [f"with {PARTS}, {CALLS}, steps as materialized (select distinct src, dst from calls), v0 as materialized (select id, loop_depth as v from parts)"]
     for k in range(n):
-        out.append(f"v{k + 1} as (select v0.id, greatest(v.v, coalesce(b.v, 0)) as v from v0 join v{k} v on v0.id = v.id left join (select src, max(x.v) as v from thin join v{k} x on dst = x.id group by 1) b on b.src = v0.id)")
+        out.append(f"v{k + 1} as materialized (select v0.id, greatest(v.v, coalesce(b.v, 0)) as v from v0 join v{k} v on v0.id = v.id left join (select src, max(x.v) as v from steps join v{k} x on dst = x.id group by 1) b on b.src = v0.id)")
     return ", ".join(out) + f" select parts.id, loop_depth, v{n}.v as transitive_loop_depth from parts join v{n} on parts.id = v{n}.id"
 
 
 @query("transitive_loop_depth", _rounds(6))
 def transitive_loop_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GraphView(spark, sf_dir)
-    return impact.transitive_loop_depth(g.parts, _thin(g))
+    return impact.transitive_loop_depth(g.parts, g.calls)
 
 
 @query("reachable_3", f"""with recursive {PARTS}, {CALLS}, steps as (select distinct src, dst from calls where confidence <> 'unresolved'),
-walk as (select id as start, id as node, 0 as depth from parts where p_partkey in (1, 2, 3) union select start, dst, depth + 1 from walk join steps on src = node where depth < 3)
+walk as (select id as start, id as node, 0 as depth from parts where p_partkey % 100 = 0 union select start, dst, depth + 1 from walk join steps on src = node where depth < 3)
 select start, node, min(depth) as depth from walk where node <> start group by 1, 2""")
 def reachable_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GraphView(spark, sf_dir)
-    starts = g.parts.filter(F.col("id").isin("part:1", "part:2", "part:3")).select(F.col("id").alias("node"))
-    return reachable(g.resolved_calls, starts, 3)
+    return reachable(g.resolved_calls, _starts(spark, sf_dir, 100), 3)
 
 
 # Quality ------------------------------------------------------------------------------------------------------------
 
-_DEAD = f"""{PARTS}, {CALLS}, {THIN}, open as (select distinct substr(dst, 12) as name from thin where confidence = 'unresolved'),
-dead as (select id, name, file, name in (select name from open) as uncertain from parts where not exported and id not in (select dst from thin where confidence <> 'unresolved'))"""
+_DEAD = f"""{NODES}, {CALLS}, open as (select distinct substr(dst, 12) as name, language from calls join nodes on nodes.id = src where calls.confidence = 'unresolved'),
+u0 as (select dst as id from calls where confidence <> 'unresolved' union select 'order:' || o_orderkey from orders), u1 as (select id from u0 union select parent_id from nodes where id in (select id from u0)),
+u2 as (select id from u1 union select parent_id from nodes where id in (select id from u1)), u3 as (select id from u2 union select parent_id from nodes where id in (select id from u2)),
+dead as (select id, name, file, (name, language) in (select (name, language) from open) as uncertain from nodes where kind in ('part', 'customer', 'supplier', 'nation', 'region') and not exported and id not in (select id from u3))"""
 
 
-@query("dead_code", f"with {_DEAD} select id, name, file from dead")
-def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GraphView(spark, sf_dir)
-    return quality.dead_code(g.parts, _thin(g).filter("confidence <> 'unresolved'"), ("part",)).filter("not uncertain").drop("uncertain")
+    placed = g.edges.filter("type in ('calls', 'places')")
+    return quality.dead_code(g.nodes, placed, ("part", "customer", "supplier", "nation", "region"))
+
+
+@query("dead_code", f"with {_DEAD} select id, name, file from dead where not uncertain")
+def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dead(spark, sf_dir).filter("not uncertain").drop("uncertain")
 
 
 @query("dead_code_uncertain", f"with {_DEAD} select id, uncertain from dead")
 def dead_code_uncertain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = GraphView(spark, sf_dir)
-    return quality.dead_code(g.parts, _thin(g), ("part",)).select("id", "uncertain")
+    return _dead(spark, sf_dir).select("id", "uncertain")
 
 
 def _normal(text: Column) -> Column:
@@ -260,33 +266,36 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.blast_radius(g.parts, g.calls)
 
 
-@query("god_files", f"with {PARTS} select file, count(*) as symbols from parts group by 1 having count(*) >= 3")
+@query("god_files", f"with {NODES} select file, count(*) as symbols from nodes group by 1 having count(*) >= 40")
 def god_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.god_files(GraphView(spark, sf_dir).parts, 3)
+    return quality.god_files(GraphView(spark, sf_dir).nodes)
 
 
-_CARD = f"""with {_REACHED}, open as (select distinct substr(dst, 12) as name from thin where confidence = 'unresolved'),
-dead as (select name in (select name from open) as uncertain from parts where not exported and id not in (select dst from thin where confidence <> 'unresolved')),
+_CARD = f"""with recursive {_REACHED}, open as (select distinct substr(dst, 12) as name, language from calls join parts on parts.id = src where calls.confidence = 'unresolved'),
+dead as (select (name, language) in (select (name, language) from open) as uncertain from parts where not exported and id not in (select dst from calls where confidence <> 'unresolved')),
+files as (select 'doc' || doc_id as path, case when text is null or n_chars < 30 then 'error' else 'ok' end as parse_status from documents),
 clusters as (select sha256(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')) from documents group by 1 having count(*) > 1),
-n as (select (select count(*) from thin) as edges, (select count(*) from thin where confidence = 'unresolved') as unresolved, (select count(*) from parts) as symbols, (select count(*) from parts) as testable,
+n as (select (select count(*) from calls) as edges, (select count(*) from calls where confidence = 'unresolved') as unresolved, (select count(*) from parts) as symbols, (select count(*) from parts) as testable,
  (select count(*) from parts where loop_depth >= 2 or linear_scan_in_loop > 0) as hot_path_symbols, (select count(*) from parts where complexity >= 15) as complex_symbols,
  (select count(*) from dead where not uncertain) as dead_code, (select count(*) from dead where uncertain) as dead_code_uncertain,
- (select count(*) from parts where not is_test and id not in (select id from reached)) as untested, (select count(*) from clusters) as duplication_clusters),
+ (select count(*) from parts where not is_test and id not in (select id from reached)) as untested, (select count(*) from clusters) as duplication_clusters, (select count(*) from files where parse_status = 'error') as parse_failures),
 card as (select *, floor(unresolved * 100.0::double / edges * 10 + 0.5) / 10 as unresolved_pct, floor(untested * 100.0::double / testable * 10 + 0.5) / 10 as untested_pct from n)"""
 
 
 @query("report_card", f"{_CARD} select * from card")
 def report_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GraphView(spark, sf_dir)
-    missing = impact.untested(g.parts, _thin(g), F.col("is_test"), ("part",), 2)
-    return quality.report_card(g.parts, _thin(g), quality.dead_code(g.parts, _thin(g), ("part",)), missing, duplicates(spark, sf_dir), ("part",))
+    missing = impact.untested(g.parts, g.calls, F.col("is_test"), ("part",))
+    status = F.when(F.col("text").isNull() | (F.col("n_chars") < 30), "error").otherwise("ok")
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("path"), status.alias("parse_status"))
+    return quality.report_card(g.parts, g.calls, quality.dead_code(g.parts, g.calls, ("part",)), missing, duplicates(spark, sf_dir), ("part",), files)
 
 
 @query("report_gates", f"""{_CARD} select * from (select 'dead_code' as metric, dead_code::double as value, 10.0::double as bound from card union all select 'untested_pct', untested_pct, 99.0 from card
-union all select 'duplication_clusters', duplication_clusters::double, 0.0 from card) where value > bound""")
+union all select 'duplication_clusters', duplication_clusters::double, 0.0 from card union all select 'parse_failures', parse_failures::double, 0.0 from card) where value > bound""")
 def report_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     card = report_card(spark, sf_dir).first().asDict()
-    broken = quality.broken_gates(card, "dead_code<=10, untested_pct<=99,duplication_clusters<=0")
+    broken = quality.broken_gates(card, "dead_code<=10, untested_pct<=99,duplication_clusters<=0,parse_failures<=0")
     return spark.createDataFrame(broken, "metric string, value double, bound double")
 
 
@@ -360,8 +369,14 @@ def qualified_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.qualified_names(GraphView(spark, sf_dir).places)
 
 
-@query("outline", """select 'turn:' || conv_id || ':' || turn as id, turn as depth, list_aggregate(list_transform(range(0, turn + 1), lambda x: 't' || x), 'string_agg', '.') as path from conversations""")
+@query("outline", """select 'region:' || r_regionkey as id, r_name as name, 'region' as kind, 0 as depth, r_name as path from region
+union all select 'nation:' || n_nationkey, n_name, 'nation', 1, r_name || '.' || n_name from nation join region on n_regionkey = r_regionkey""")
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.outline(GraphView(spark, sf_dir).places, "geo")
+
+
+@query("qualified_name_deep", """select 'turn:' || conv_id || ':' || turn as id, turn as depth, list_aggregate(list_transform(range(0, turn + 1), lambda x: 't' || x), 'string_agg', '.') as path from conversations""")
+def qualified_name_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     key = lambda t: F.concat(F.lit("turn:"), F.col("conv_id"), F.lit(":"), t)
     nodes = c.select(key(F.col("turn")).alias("id"), F.concat(F.lit("t"), F.col("turn")).alias("name"), F.when(F.col("turn") > 0, key(F.col("turn") - 1)).otherwise("").alias("parent_id"))
@@ -411,7 +426,7 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _file_graph(spark: SparkSession, sf_dir: str) -> tuple[GraphView, DataFrame, DataFrame]:
     g = GraphView(spark, sf_dir)
-    graph = summary.file_graph(g.parts, g.resolved_calls.filter("line = 1"))
+    graph = Scratch(spark, "graph").put("graph", summary.file_graph(g.parts, g.resolved_calls))
     files = g.parts.select(F.col("file").alias("node")).distinct()
     return g, graph, files.withColumn("personal", F.lit(1.0) / F.lit(float(max(1, files.count()))))
 
@@ -428,11 +443,12 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.hotspots(pagerank(spark, sf_dir), graph, g.parts)
 
 
-def _strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of parts that call each other at the first line of an order, heavy ones only, so that several components are left."""
-    g = GraphView(spark, sf_dir)
-    heavy = g.resolved_calls.filter("line = 1 and confidence = 'exact'").filter("try_cast(substring(src, 6, 20) as bigint) % 5 = 0")
-    return heavy.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+def _least_of_neighbours(rounds: int) -> str:
+    """The least node within ``rounds`` steps; the graph's diameter is far below them."""
+    out = ["l0 as materialized (select distinct src as node, src as c from b)"]
+    for k in range(rounds):
+        out.append(f"l{k + 1} as materialized (select l.node, least(l.c, min(x.c)) as c from l{k} l join b on b.src = l.node join l{k} x on x.node = b.dst group by l.node, l.c)")
+    return ", ".join(out) + f" select node, c as component from l{rounds}"
 
 
 @query("communities")
@@ -442,11 +458,9 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.communities(calls.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
-@query("refine_components", f"""with recursive {CALLS}, e as (select distinct src, dst from calls where line = 1 and confidence = 'exact' and substr(src, 6)::bigint % 5 = 0),
-b as (select src, dst from e union select dst, src from e), walk as (select distinct src as node, src as c from b union select dst, c from walk join b on src = node)
-select node, min(c) as component from walk group by 1""")
+@query("refine_components", f"""with {CALLS}, e as (select distinct src, dst from calls where confidence <> 'unresolved'), b as materialized (select src, dst from e union select dst, src from e), {_least_of_neighbours(12)}""")
 def refine_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _strong(spark, sf_dir)
+    edges = GraphView(spark, sf_dir).resolved_calls.select("src", "dst").distinct()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return rank.components(edges, nodes)
 
