@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from strandline import queries
+from strandline import code_queries, queries  # noqa: F401
 from strandline.functions import text as fn
 from strandline.operators import impact, intervals, quality, rank, rdf, routes, search, summary
 from strandline.sources.graph_view import GraphView
