@@ -115,7 +115,7 @@ def language_family(language: Column) -> Column:
 def declaration(line: Column) -> Column:
     """A line without the white space that only formats: one space stays between two characters of words."""
     word = r"[\p{L}\p{Nd}_$]"
-    bare = F.regexp_replace(line, rf"(?<!{word})\s+|\s+(?!{word})|^\s+|\s+$", "")
+    bare = F.regexp_replace(line, rf"(?<![\s\p{{L}}\p{{Nd}}_$])\s++|\s++(?!{word})|^\s+|\s+$", "")
     return F.regexp_replace(bare, r"\s+", " ")
 
 
