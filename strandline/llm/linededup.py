@@ -203,10 +203,13 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, settings: TemplateSett
     line = ["leaf", "line_id"]  # a line is named by its digest within its leaf
     plain = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
     rows = scratch.put("rows", line_rows(spread(plain), s))
-    # One row for each distinct line, however many documents hold it, before anything is dealt by leaf alone.
-    stats = scratch.put("stats", rows.groupBy(*line).agg(F.count(F.when(F.col("lead"), 1)).alias("documents"), F.min("doc_id").alias("first"), F.first("marks").alias("marks")))
+    stats = scratch.put("stats", rows.groupBy(*line).agg(F.count(F.when(F.col("lead"), 1)).alias("documents"), F.min("doc_id").alias("first")))
     crowded = scratch.put("leaves", stats.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf"))
-    lines = scratch.put("crowded", stats.select(*line, "marks", "documents").join(crowded.hint("merge"), "leaf", "left_semi"))
+    # Under another name of the leaf, lines are combined where they are and dealt by line: a join by leaf alone can then be split.
+    turned = F.col("leaf").bitwiseXOR(F.lit(1))
+    some = rows.filter("lead").select(*line, "marks").join(crowded.hint("merge"), "leaf", "left_semi").select(turned.alias("leaf"), "line_id", "marks")
+    some = some.groupBy(*line).agg(F.first("marks").alias("marks")).select(turned.alias("leaf"), "line_id", "marks")
+    lines = scratch.put("crowded", some.join(stats.select(*line, "documents").hint("merge"), line))
     grouped = scratch.put("templates", _leaf_templates(lines, s))
     # A document may hold several lines of one template: count documents, not lines.
     held = rows.filter("lead").select("doc_id", *line).join(grouped.hint("merge"), line).select("doc_id", "leaf", "template").distinct()
