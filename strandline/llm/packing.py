@@ -317,7 +317,7 @@ def pack(
     by_length = Window.partitionBy("length").orderBy("lot")
     before = sizes.select("length", "lot", (F.sum("count").over(by_length) - F.col("count")).alias("before"))
     inner = Window.partitionBy("length", "lot").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("inner", F.row_number().over(inner) - 1).join(before, ["length", "lot"]).withColumn("rank", F.col("before") + F.col("inner"))
+    ranked = cut.withColumn("inner", F.row_number().over(inner) - 1).join(before.hint("merge"), ["length", "lot"]).withColumn("rank", F.col("before") + F.col("inner"))
     # The slot of a piece is the last one of its length that starts at or before its rank.
     table = where.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "uses", "sequence", "place"))).alias("slots"))
     found = ranked.join(F.broadcast(table), "length").withColumn("slot", F.element_at(F.filter("slots", lambda s: s["first"] <= F.col("rank")), -1))
