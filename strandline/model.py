@@ -1,4 +1,4 @@
-"""Schemas of the graph's tables as DDL text, and the order of confidences."""
+"""The version of the graph's tables, and the order of confidences."""
 
 from __future__ import annotations
 
@@ -9,26 +9,6 @@ SCHEMA_VERSION = 1
 
 #: Confidences from strongest to weakest; a path is as weak as its weakest edge.
 CONFIDENCES = ("exact", "scoped", "heuristic", "unresolved")
-#: Why an edge is unresolved.
-REASONS = ("dynamic_receiver", "ambiguous_name", "runtime_value", "missing_import", "parse_error")
-
-
-LOCATION = "struct<file: string, start_line: int, start_column: int, end_line: int, end_column: int, kind: string, raw: string>"
-NODES = (
-    "id string, name string, kind string, language string, file string, start_line int, start_column int, end_line int, end_column int, signature string, "
-    "docstring string, return_types array<string>, receiver_type string, exported boolean, parent_id string, confidence string, scip_symbol string, complexity int, "
-    "loop_depth int, transitive_loop_depth int, linear_scan_in_loop int, alloc_in_loop int, recursion_in_loop boolean, shape_hash string"
-)
-EDGES = (f"id string, src string, dst string, type string, confidence string, unresolved_reason string, evidence {LOCATION}")
-FILES = ("path string, language string, sha256 string, line_count int, prefixes map<string, string>, parser string, parse_status string, parse_error string")
-LINES = ("file string, line int, text string")
-COMMITS = ("commit string, file string")
-COVERAGE = ("file string, line int, hits int")
-CHANGED = ("file string, start_line int, end_line int")
-TERMS = (f"id string, term string, iri string, prefix string, local_name string, locations array<{LOCATION}>")
-REFERENCES = ("id string, term_id string, term string, iri string, file string, start_line int, start_column int, confidence string, kind string, context string")
-JOURNAL = ("seq bigint, timestamp string, updated array<string>, removed array<string>")
-
 
 def rank(confidence: Column) -> Column:
     """1 for the strongest confidence to 4 for the weakest; anything unknown is weakest."""

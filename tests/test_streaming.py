@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.runtime import table
-from strandline.streaming import maintain, windows
+from strandline.streaming import journal, maintain, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +75,8 @@ def test_dependents_are_derived_again_if_the_surface_changed(spark, tmp_path):
 def test_dependents(spark):
     imports = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "x"), ("a", "c")], "path string, target string")
     assert {r.path for r in maintain.dependents(imports, spark.createDataFrame([("a",)], "path string")).collect()} == {"b", "c"}
+
+
+def test_missed_history(spark):
+    entries = spark.createDataFrame([(i,) for i in range(1, 301)], "seq bigint")
+    assert journal.missed_history(entries, 99) and not journal.missed_history(entries, 100) and not journal.missed_history(entries.limit(0), 0)
