@@ -10,6 +10,7 @@ SCHEMA_VERSION = 1
 #: Confidences from strongest to weakest; a path is as weak as its weakest edge.
 CONFIDENCES = ("exact", "scoped", "heuristic", "unresolved")
 
+
 def rank(confidence: Column) -> Column:
     """1 for the strongest confidence to 4 for the weakest; anything unknown is weakest."""
     out = F.lit(len(CONFIDENCES))
