@@ -36,7 +36,8 @@ except ImportError:  # older interpreters
 class SecretRule:
     """``least`` characters are asked of group ``group``; shorter matches are dropped but consumed.
 
-    ``body`` is matched behind ``pattern`` and belongs to the span; it may be empty.
+    ``body`` is matched behind ``pattern`` and belongs to the span; it may be empty.  ``body_sql`` is the same without looking
+    ahead, for SQL: what it takes in group 1 is behind the span.
     """
 
     kind: str
@@ -45,6 +46,7 @@ class SecretRule:
     group: int = 0
     folded: bool = False
     body: str = ""
+    body_sql: str = ""
 
     def compiled(self) -> re.Pattern[str]:
         pattern = self.pattern
@@ -62,13 +64,20 @@ BASE_RULES = (
 #: Behind a PEM header: anything up to the END line, or, if another marker or the text's end comes first, the header fields and
 #: base64 lines (16 characters or more, a last one of whole groups of four), broken by white space, quoting or written \\n.
 _GAP = r"""(?:[\x20\x09-\x0D>\#*"',]|\\[nrt])*"""
-_PEM_BODY = (
-    r"(?:[^-]*(?:-(?!----)[^-]*)*-----END (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"
-    rf"|(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:{_GAP}[A-Za-z0-9+/]{{16,}}={{0,2}})+"
-    rf"(?:{_GAP}(?:[A-Za-z0-9+/]{{4}})*(?:[A-Za-z0-9+/]{{4}}|[A-Za-z0-9+/]{{3}}=|[A-Za-z0-9+/]{{2}}==)(?=[\r\n\\\"']|\Z))?)?"
-)
+
+
+def _pem_body(to_marker: str, line_end: str) -> str:
+    return (
+        rf"(?:{to_marker}-----END (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"
+        rf"|(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:{_GAP}[A-Za-z0-9+/]{{16,}}={{0,2}})+"
+        rf"(?:{_GAP}(?:[A-Za-z0-9+/]{{4}})*(?:[A-Za-z0-9+/]{{4}}|[A-Za-z0-9+/]{{3}}=|[A-Za-z0-9+/]{{2}}==){line_end})?)?"
+    )
+
+
+_PEM_BODY = _pem_body(r"[^-]*(?:-(?!----)[^-]*)*", r"(?=[\r\n\\\"']|\Z)")
+_PEM_BODY_SQL = _pem_body(r"(?:[^-]|-{1,4}[^-])*", r"([\r\n\\\"']|\z)")
 RULES = BASE_RULES + (
-    SecretRule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----", body=_PEM_BODY),
+    SecretRule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----", body=_PEM_BODY, body_sql=_PEM_BODY_SQL),
     SecretRule("github", r"gh[opsru]_[A-Za-z0-9]+", 40),
     SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     SecretRule("google", r"AIza[A-Za-z0-9_-]+", 39),
@@ -287,10 +296,11 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[SecretR
 
 def _kind_sql(rule: SecretRule, k: int) -> str:
     """Matches in order, and what lies between them; a match starts after all that comes before it."""
-    pattern = ("(?i)" if rule.folded else "") + rule.pattern.replace("'", "''")
+    pattern = ("(?i)" if rule.folded else "") + (rule.pattern + rule.body_sql).replace("'", "''")
+    beyond = f"length(regexp_extract(x, '{pattern}', 1))" if rule.body_sql else "0"
     tested = f"length(regexp_extract(x, '{pattern}', {rule.group}))" if rule.group else "length(x)"
     return f"""
-select doc_id, '{rule.kind}' as kind, {k} as k, s, s + length(x) as e from (
+select doc_id, '{rule.kind}' as kind, {k} as k, s, s + length(x) - {beyond} as e from (
   select doc_id, m[i] as x, list_sum([0] || list_transform(p[1:i], lambda y: length(y))) + list_sum([0] || list_transform(m[1:i - 1], lambda y: length(y))) as s
   from (select *, unnest(range(1, len(m) + 1)) as i from (select doc_id, regexp_extract_all(t, '{pattern}') as m, regexp_split_to_array(t, '{pattern}') as p from d)))
 where {tested} >= {rule.least}"""

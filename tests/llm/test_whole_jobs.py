@@ -2,6 +2,7 @@
 
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from test_llm_operators import drain
@@ -25,6 +26,16 @@ def test_crowded_leaves_keep_their_templates(spark, leaf_lines):
     assert all(got[i] == [0, 1] for i in range(1, 60))
 
 
+def test_no_task_holds_a_crowded_leaf(spark):
+    rng = np.random.default_rng(5)
+    words = ["one two three " + " ".join(rng.choice(["red", "blue", "grey", "pink"], 7)) for _ in range(400)]
+    rows = spark.createDataFrame([(1, i, len(words) - i, w.encode()) for i, w in enumerate(words)], "leaf bigint, line_id bigint, documents bigint, marks binary")
+    sizes = rows.groupBy("leaf").count().withColumnRenamed("count", "n")
+    dealt = linededup._dealt(rows, sizes, 40)
+    assert dealt.count() == 400 and {r.parts for r in dealt.select("parts").distinct().collect()} == {10}
+    assert max(r["count"] for r in dealt.groupBy("leaf", "part").count().collect()) <= 80
+
+
 def test_components_of_long_paths_in_few_rounds(spark):
     falling = [(0, 150), *((i, i - 1) for i in range(150, 1, -1))]
     ids = np.random.default_rng(1).permutation(np.arange(1_000, 2_000)).tolist()
@@ -56,6 +67,20 @@ def test_private_keys_are_redacted_whole(spark):
     assert texts[100] == "the mark <secret:private_key> begins a key, the mark <secret:private_key> too"
 
 
+def test_sql_takes_private_keys_whole(spark):
+    texts = [f"before it\n{k}{behind}" for k in KEYS for behind in ("", " and more", "\nSome words", "-- x", "' + y", "\n----- end")]
+    texts += ["-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY----- a-b--c---d----e\n-----END PRIVATE KEY-----", f"é{KEYS[0]}\n{KEYS[0]}", "-----BEGIN PRIVATE KEY-----\n------END PRIVATE KEY-----"]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r.doc_id: ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans) for r in secret_scan.find_secrets(frame).collect()}
+    with duckdb.connect() as con:
+        con.execute("create table documents (doc_id bigint, text varchar)")
+        con.executemany("insert into documents values (?, ?)", rows)
+        got = {row[0]: row[-1] for row in con.execute(secret_scan.scan_sql()).fetchall()}
+    assert got == want
+    assert sum("private_key" in x for x in got.values()) == len(texts)
+
+
 def test_packing_branches_over_whole_plans():
     full = dict.fromkeys((685, 128, 211, 537, 231, 256, 268, 363, 393), 10_000)
     plan = packing.complete(full, 1024)
