@@ -1,12 +1,14 @@
 """Line dedup with a log-template tree.
 
-Lines of five words or more are parsed by a tree of fixed depth: first the number
-of words, then the leading words, where words that hold a digit are variable
+Lines of five words or more, and runs of shorter lines that have as many together
+(a list, an address, a verse; a line without words ends a run), are parsed by a tree
+of fixed depth: first the number of words, then the leading words, where words that hold a digit are variable
 fields.  Lines in one leaf that agree in four of five words or more are one
 template, with the words that differ as further fields; leaders are taken in the
 order of their documents, most first.  A template that occurs in two documents
 or more is boilerplate: its lines stay in the document with the smallest id and
-are dropped from all others.
+are dropped from all others.  A run is treated as the one line that its words would
+be, and all its lines go or stay.
 
 A line is named by a 64-bit digest of its words within its leaf (of another 64 bits), and its words by
 32 bits each: two lines of one leaf with different words at a place agree there with probability 2^-32.
@@ -60,26 +62,30 @@ _FACTOR = np.uint64(0xD6E8_FEB8_6659_FD93)
 
 
 def parse_lines(buf: np.ndarray, offsets: np.ndarray, s: TemplateSettings) -> dict[str, np.ndarray]:
-    """The lines of all texts that are long enough: text, line, line_id, leaf, and their words' marks."""
+    """The lines, and runs of short lines, of all texts that are long enough: text, line (the first), span (lines), line_id, leaf, and their words' marks."""
     breaks = np.flatnonzero(buf == 10)
     starts, ends, _ = word_bounds(buf, offsets)
     # Lines begin at a text's start and after each break; a word belongs to the last line that begins at or before it.
     begins = np.unique(np.concatenate((offsets[:-1], breaks + 1)))
     text_of = np.searchsorted(offsets, begins, side="right") - 1
-    firsts = np.searchsorted(starts, np.append(begins, len(buf)))
-    count = np.diff(firsts)
-    long = np.flatnonzero((count >= s.words) & (text_of < len(offsets) - 1))
+    in_line = np.diff(np.searchsorted(starts, np.append(begins, len(buf))))
+    # A short line goes on with the run of the short line right before it in its text.
+    short = (in_line > 0) & (in_line < s.words)
+    on = np.zeros(len(begins), bool)
+    on[1:] = short[1:] & short[:-1] & (text_of[1:] == text_of[:-1])
+    opens = np.flatnonzero((in_line > 0) & ~on)
+    count = np.add.reduceat(in_line, opens) if len(opens) else np.zeros(0, np.int64)
+    span = np.add.reduceat((in_line > 0).astype(np.int64), opens) if len(opens) else np.zeros(0, np.int64)
+    text_of, firsts = text_of[opens], np.cumsum(count) - count
+    long = np.flatnonzero(count >= s.words)
     hashed = hash_spans(buf, starts, ends)
     digits = np.concatenate(([0], np.cumsum(_DIGIT[buf], dtype=np.int64)))
     hashed[digits[ends] > digits[starts]] = FIELD
-    inner = np.arange(len(starts)) - np.repeat(firsts[:-1], count)
+    inner = np.arange(len(starts)) - np.repeat(firsts, count)
     power = np.full(int(count.max()) if len(count) else 1, _FACTOR)
     power[:1] = 1
     power = np.multiply.accumulate(power)
-    filled = np.flatnonzero(count > 0)
-    total = np.zeros(len(count), np.uint64)
-    if len(filled):
-        total[filled] = np.add.reduceat(mix(hashed + np.uint64(1)) * power[inner], firsts[filled])
+    total = np.add.reduceat(mix(hashed + np.uint64(1)) * power[inner], firsts) if len(firsts) else np.zeros(0, np.uint64)
     n = count[long].astype(np.uint64)
     leaf = mix(n)
     for k in range(min(s.depth, s.words)):
@@ -87,13 +93,13 @@ def parse_lines(buf: np.ndarray, offsets: np.ndarray, s: TemplateSettings) -> di
     line_begin = np.searchsorted(begins, offsets[text_of[long]])
     marks = (hashed >> np.uint64(32)).astype("<u4")
     return {
-        "text": text_of[long], "line": long - line_begin, "line_id": mix(total[long] + n).astype(np.int64), "leaf": leaf.astype(np.int64),
+        "text": text_of[long], "line": opens[long] - line_begin, "span": span[long], "line_id": mix(total[long] + n).astype(np.int64), "leaf": leaf.astype(np.int64),
         "first": firsts[long], "count": count[long], "marks": marks,
     }
 
 
 def line_rows(docs: DataFrame, s: TemplateSettings) -> DataFrame:
-    """(doc_id, line, line_id, leaf, lead, marks) per long line of (doc_id, text); ``lead`` is the line's first time in its document."""
+    """(doc_id, line, span, line_id, leaf, lead, marks) per long line or run of (doc_id, text); ``lead`` is its first time in its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -111,10 +117,11 @@ def line_rows(docs: DataFrame, s: TemplateSettings) -> DataFrame:
             marks = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(x["marks"][at].tobytes())])
             ids = b.column(0).take(pa.array(x["text"]))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(x["line"].astype(np.int32)), pa.array(x["line_id"]), pa.array(x["leaf"]), pa.array(lead), marks], names=["doc_id", "line", "line_id", "leaf", "lead", "marks"]
+                [ids, pa.array(x["line"].astype(np.int32)), pa.array(x["span"].astype(np.int32)), pa.array(x["line_id"]), pa.array(x["leaf"]), pa.array(lead), marks],
+                names=["doc_id", "line", "span", "line_id", "leaf", "lead", "marks"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, line int, line_id bigint, leaf bigint, lead boolean, marks binary")
+    return docs.mapInArrow(run, "doc_id bigint, line int, span int, line_id bigint, leaf bigint, lead boolean, marks binary")
 
 
 class _Leaders:
@@ -287,8 +294,9 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, settings: TemplateSett
     own = stats.join(grouped.hint("merge"), line, "left_anti").select(*line, "documents", "first")
     known = own.union(grouped.join(shared.hint("merge"), ["leaf", "template"]).select(*line, "documents", "first")).filter(F.col("documents") >= s.documents)
     known = scratch.put("known", known.select(*line, "first"))
-    dropped = rows.select("doc_id", "line", *line).join(known.hint("merge"), line).filter("doc_id <> first").groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    dropped = scratch.put("dropped", dropped)
+    gone = rows.select("doc_id", "line", "span", *line).join(known.hint("merge"), line).filter("doc_id <> first")
+    gone = gone.select("doc_id", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("span") - 1)).alias("line"))
+    dropped = scratch.put("dropped", gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")))
     scratch.drop("rows", "stats", "leaves", "templates", "shared", "known")
     return dropped
 

@@ -164,14 +164,25 @@ def test_redaction_and_odd_rows(spark, odd, nothing):
     assert secret_scan.find_secrets(nothing).count() == 0 and secret_scan.find_secrets(odd).count() == len(ODD)
 
 
+def units(t, s):
+    """(numbers of its lines, words) of each long line, and of each run of short lines that is long enough."""
+    out, run = [], ([], ())
+    for i, line in enumerate([*(t or "").split("\n"), ""]):
+        words = tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
+        if 0 < len(words) < s.words:
+            run = (run[0] + [i], run[1] + words)
+            continue
+        out += [run, ([i], words)]
+        run = ([], ())
+    return [u for u in out if len(u[1]) >= s.words]
+
+
 def drain(rows, s):
-    """The templates as the operator defines them, line by line."""
-    stats, marks = {}, {}
+    """The templates as the operator defines them, line by line and run by run."""
+    stats = {}
     for d, t in rows.items():
-        for line in (t or "").split("\n"):
-            words = tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
-            if len(words) >= s.words:
-                stats.setdefault(words, set()).add(d)
+        for _, words in units(t, s):
+            stats.setdefault(words, set()).add(d)
     leaves = defaultdict(list)
     for words in stats:
         leaves[len(words), words[: s.depth]].append(words)
@@ -193,10 +204,9 @@ def drain(rows, s):
     out = {}
     for d, t in rows.items():
         gone = []
-        for i, line in enumerate((t or "").split("\n")):
-            words = tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
-            if words in template and len(held[template[words]]) >= s.documents and d != min(held[template[words]]):
-                gone.append(i)
+        for at, words in units(t, s):
+            if len(held[template[words]]) >= s.documents and d != min(held[template[words]]):
+                gone += at
         if gone:
             out[d] = gone
     return out
@@ -227,6 +237,21 @@ def test_variable_fields_and_split_leaves(spark):
         assert linededup.recurring_lines(spark, many, linededup.TemplateSettings(leaf_lines=leaf_lines)).count() == 59
 
 
+def test_runs_of_short_lines(spark):
+    verse = "Of arms\nand men\nI sing here 12\n"
+    rows = {
+        1: f"first own line of document one\n\n{verse}\nHome\nAbout", 2: f"Menu\n\n{verse}\nmy other line of five words", 3: verse.replace("12", "7"), 4: f"Home\nAbout\n{verse}",
+        5: "Home\n\nAbout\n\nNews and more\n\nHome\n\nAbout", 6: "Of arms and men I\nsing here 12", 7: "x Of arms and men I sing here 12", 8: verse + verse, 9: "\n\n", 10: f"{verse}\n\n{verse}tail",
+    }
+    frame = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    got = {r.doc_id: list(r.lines) for r in linededup.recurring_lines(spark, frame).collect()}
+    assert got == drain(rows, linededup.TemplateSettings())
+    # Runs stay where other short lines make them another run (4, 8, and the end of 10), and short lines alone (5).
+    assert got == {2: [2, 3, 4], 3: [0, 1, 2], 10: [0, 1, 2]}
+    out = {r.doc_id: (r.text, r.n_dropped) for r in linededup.without_recurring_lines(spark, frame).collect()}
+    assert out[2] == ("Menu\n\n\nmy other line of five words", 3) and out[3] == ("", 3) and out[5] == (rows[5], 0)
+
+
 def test_lines_of_odd_rows(spark, odd, nothing):
     out = linededup.without_recurring_lines(spark, odd)
     rows = out.collect()
