@@ -15,6 +15,8 @@ NAMES = {"dockerfile": "dockerfile", "gemfile": "ruby", "rakefile": "ruby"}
 #: Folders that are never read, and the size from which generated files are left out.
 IGNORED = (".git", "node_modules", "vendor", "dist", "build", "target", ".venv", "venv", "__pycache__", ".terraform", ".idea", ".vscode", "coverage")
 GENERATED_BYTES = 512 * 1024
+#: Files at the root of a tree that name what is not read.
+IGNORE_FILES = (".gitignore", ".strandlineignore")
 
 
 def language(path: Column, head: Column) -> Column:
@@ -57,8 +59,31 @@ def generated(path: Column, size: Column) -> Column:
     return ((size >= GENERATED_BYTES) & name) | low.rlike(r"(^|/)tree_sitter/parser\.h$")
 
 
-def read_tree(spark: SparkSession, root: str, patterns: tuple[str, ...] = ()) -> DataFrame:
-    """(path, language, sha256, line_count, content) of the files under ``root``; sizes are checked before contents are read."""
+def ignore_patterns(spark: SparkSession, root: str, names: tuple[str, ...] = IGNORE_FILES) -> tuple[str, ...]:
+    """The patterns in the ignore files at ``root``, in any store; comments and lines that take back (``!``) are left out.
+
+    Spark's own readers pass over names that begin with a dot, so these small files are read through the file system.
+    """
+    jvm, out = spark.sparkContext._jvm, []
+    for name in names:
+        at = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + name)
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if store.exists(at):
+            stream = store.open(at)
+            try:
+                text = bytes(stream.readAllBytes()).decode("utf-8", "replace")
+            finally:
+                stream.close()
+            out += [x.strip() for x in text.split("\n")]
+    return tuple(x for x in out if x.strip("/") and not x.startswith(("#", "!")))
+
+
+def read_tree(spark: SparkSession, root: str, patterns: tuple[str, ...] = (), ignore_files: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
+    """(path, language, sha256, line_count, content) of the files under ``root`` that neither its ignore files nor ``patterns`` name.
+
+    Sizes are checked before contents are read; files and folders whose names begin with a dot or ``_`` are never read.
+    """
+    patterns = (*ignore_patterns(spark, root, ignore_files), *patterns)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://", 1)[-1].split(":", 1)[-1]
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//[^/]*)?", ""), "^/*" + "".join(c if c.isalnum() or c in "/_-" else "\\" + c for c in base.lstrip("/")) + "/", "")

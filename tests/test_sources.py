@@ -18,6 +18,10 @@ FILES = {
     "infra/k8s.yaml": "kind: Deployment\nmetadata: {name: web}\nspec:\n  template:\n    metadata: {labels: {app: web, tier: a}}\n    spec:\n      serviceAccountName: bot\n      containers:\n      - name: c\n        image: web:1\n        envFrom: [{configMapRef: {name: conf}}]\n---\nkind: Service\nmetadata: {name: web}\nspec: {selector: {app: web}}\n---\nkind: Service\nmetadata: {name: other}\nspec: {selector: {app: nothing}}\n",
     "tf/main.tf": 'variable "size" {}\nresource "aws_instance" "web" {\n  count = var.size # var.ignored\n  ami = data.aws_ami.base.id\n}\ndata "aws_ami" "base" {}\n',
     "voc/v.ttl": "@prefix ex: <http://x/> .\n@prefix sh: <http://www.w3.org/ns/shacl#> .\nex:Name a ex:Property .\nex:Shape a sh:NodeShape ;\n  sh:targetClass ex:Person ;\n  sh:property [ sh:path ex:Name ] .\n",
+    "api/Owners.java": '@RestController\n@RequestMapping("/owners")\npublic class Owners {\n  @GetMapping("/{id}")\n  @Transactional\n  public Owner one(int id) {\n    return find(id);\n  }\n\n  @RequestMapping(value = "/", method = RequestMethod.POST)\n  public Owner add(Owner o) {\n    return o;\n  }\n\n  @DeleteMapping\n  public void drop() {\n  }\n}\n',
+    "api/PetsController.cs": '[ApiController, Route("api/[controller]")]\npublic class PetsController {\n  [HttpGet("{id}")]\n  public Pet Get(int id) {\n    return null;\n  }\n\n  [HttpPost]\n  public Pet Add(Pet p) {\n    return p;\n  }\n}\n',
+    "web/bus.js": "// bus.emit('not')\nexport function say(name) {\n  bus.emit(\n    'said', 1);\n  bus.once(topics.all, say);\n  bus.off(makeName());\n  bus.emit('');\n}\n",
+    ".gitignore": "# made\n*.log.js\n!kept.log.js\n/out/\nlib/*.gen.go\n", ".strandlineignore": "secret.py\n", "out/x.py": "x = 1\n", "web/kept.log.js": "let y\n", "lib/a.gen.go": "package a\n", "src/secret.py": "x = 1\n",
     "node_modules/x/index.js": "function no() {}\n", "web/app.min.js": "x" * 10, "tool": "#!/usr/bin/env bash\ngo() {\n  echo\n}\n", "broken.py": "def (:\n",
 }
 
@@ -33,7 +37,7 @@ def files(spark, tmp_path_factory):
 
 def test_tree(files):
     found = {r.path: (r.language, r.line_count) for r in files.collect()}
-    assert set(found) == set(FILES) - {"node_modules/x/index.js", "web/app.min.js"}
+    assert set(found) == set(FILES) - {"node_modules/x/index.js", "web/app.min.js", ".gitignore", ".strandlineignore", "out/x.py", "web/kept.log.js", "lib/a.gen.go", "src/secret.py"}
     assert found["ui/Card.vue"][0] == "vue" and found["tool"] == ("bash", 4) and found["infra/Dockerfile"][0] == "dockerfile" and found["web/client.ts"] == ("typescript", 5)
     assert tree.lines(files).filter("file = 'tool'").count() == 5
 
@@ -52,8 +56,14 @@ def test_symbols_and_edges(spark, files):
     assert ("calls", "run", by["src/service.py", "stop"].id, "exact") in got
     assert ("calls", "stop", "unresolved:missing", "unresolved") in got
     assert ("calls", "list", "web/routes.js#find", "exact") in got and ("calls", "Run", "go/main.go#step", "exact") in got
-    assert ("emits-event", "file:web/routes.js", "event:user:seen", "exact") in got and ("listens-event", "file:web/client.ts", "event:user:seen", "exact") in got
+    assert ("emits-event", "file:web/routes.js", "event:user:seen", "exact") in got and ("listens-event", "load", "event:user:seen", "exact") in got
     assert ("calls-http-route", "file:web/client.ts", "web/routes.js#http-route:GET /users/:id", "exact") in got
+    bus = {(r.type, r.dst, r.confidence, r.line) for r in edges.filter("src = 'web/bus.js#say' and type like '%event'").collect()}
+    assert bus == {("emits-event", "event:said", "exact", 3), ("listens-event", "event:topics.all", "scoped", 5), ("removes-event", "event:makeName", "scoped", 6), ("emits-event", "event:", "unresolved", 7)}
+    routes = {(r.src.split(":", 1)[1], r.dst) for r in edges.filter("type = 'handles-route' and file like 'api/%'").collect()}
+    owners = {("GET /owners/{id}", "one"), ("POST /owners/", "add"), ("DELETE /owners", "drop")}
+    pets = {("GET /api/Pets/{id}", "Get"), ("POST /api/Pets", "Add")}
+    assert routes == {(route, by["api/Owners.java", name].id) for route, name in owners} | {(route, by["api/PetsController.cs", name].id) for route, name in pets}
     assert ("selects-workload", "k8s:default/Service/web", "k8s:default/Deployment/web", "exact") in got and not any(s == "k8s:default/Service/other" for _, s, _, _ in got)
     assert ("uses-configmap", "k8s:default/Deployment/web", "k8s:default/ConfigMap/conf", "exact") in got and ("uses-image", "k8s:default/Deployment/web/c", "image:web:1", "exact") in got
     assert ("depends-on", "tf:tf/aws_instance.web", "tf:tf/var.size", "exact") in got and ("depends-on", "tf:tf/aws_instance.web", "tf:tf/data.aws_ami.base", "exact") in got
