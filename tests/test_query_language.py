@@ -64,6 +64,14 @@ def test_caps_and_totals(spark):
     assert len(values(query_graph("MATCH (f) RETURN f.id LIMIT 3", nodes, edges, 10))) == 3
 
 
+def test_no_row_is_lost_without_a_limit(spark):
+    nodes, edges = graph(spark, [f"n{i}" for i in range(5_001)], [(f"n{i}", f"n{i}") for i in range(5_001)])
+    assert query_graph("MATCH (f) RETURN f.id", nodes, edges).count() == 5_001
+    assert query_graph("MATCH (f)-[:calls]->(f) RETURN f.id, COUNT(*)", nodes, edges).count() == 5_001
+    assert query_graph("MATCH (f) RETURN f.id LIMIT 5001", nodes, edges).count() == 5_001
+    assert query_total("MATCH (f) RETURN f.id", nodes, edges) == (5_001, False)
+
+
 @pytest.mark.parametrize(
     "text",
     ["", "MATCH", "MATCH (f)", "MATCH (f) RETURN f", "MATCH () RETURN f.id", "MATCH (f)-[:a-b]->(g) RETURN f.id", "MATCH (f) RETURN f.id LIMIT x", "MATCH (f) RETURN f.id more", "MATCH (f) WHERE f.name = 'x RETURN f.id", "MATCH (f) WHERE f.name ~ 'x' RETURN f.id", "MATCH (f)-[:x*1...3]->(g) RETURN f.id"],
