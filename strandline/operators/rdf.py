@@ -43,13 +43,16 @@ def trace_term(terms: DataFrame, references: DataFrame, term_id: str, weak: bool
     return own.union(refs if weak else refs.filter("confidence <> 'weak'")).distinct().orderBy("file", "line")
 
 
-def search_literal(literals: DataFrame, text: str, lang: str | None = None) -> DataFrame:
-    """Literals (file, line, value, lang) that hold ``text`` in any case: equal ones first, then shorter, then by place."""
+def search_literal(literals: DataFrame, text: str, lang: str | None = None, same_case: bool = False) -> DataFrame:
+    """Literals (file, line, value, lang) that hold ``text`` in any case: equal ones first, then shorter, then by place.
+
+    Equal are those that differ in case alone; with ``same_case``, only those that are ``text`` itself.
+    """
     low = F.lower("value")
     found = literals.filter(F.contains(low, F.lit(text.lower())))
     if lang:
         found = found.filter(F.lower("lang") == lang.lower())
-    return found.withColumn("exact", low == text.lower()).orderBy(F.desc("exact"), F.length("value"), "file", "line")
+    return found.withColumn("exact", F.col("value") == text if same_case else low == text.lower()).orderBy(F.desc("exact"), F.length("value"), "file", "line")
 
 
 def containing_shapes(shapes: DataFrame, path: str) -> DataFrame:
