@@ -23,3 +23,12 @@ def test_a_literal_in_another_case_is_not_the_same(spark, tmp_path):
     spark.createDataFrame([(i, t, "fr") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got, want = held(spark, tmp_path, "search_literal")
     assert got == want and repr((1, True, 4)) in got and repr((0, False, 4)) in got
+
+
+def test_two_hits_on_one_line_are_one_row(spark, tmp_path):
+    for name, keys in {"part": ["p_partkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"]}.items():
+        one = spark.read.parquet(f"{SF}/{name}.parquet")
+        both = one.union(one.select(*[(F.col(c) + (200 if c == "l_partkey" or c == "p_partkey" else 1_000_000)).cast(one.schema[c].dataType).alias(c) if c in keys else F.col(c) for c in one.columns]))
+        both.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got, want = held(spark, tmp_path, "hit_blast_radius")
+    assert got == want and want
