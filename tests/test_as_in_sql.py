@@ -32,3 +32,10 @@ def test_two_hits_on_one_line_are_one_row(spark, tmp_path):
         both.write.parquet(str(tmp_path / f"{name}.parquet"))
     got, want = held(spark, tmp_path, "hit_blast_radius")
     assert got == want and want
+
+
+def test_what_rounds_to_zero_keeps_its_sign(spark, tmp_path):
+    rows = [(i, [-1e-8 if k == i else 1e-8 if k == 5 else 0.5 for k in range(64)]) for i in range(0, 6, 2)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got, want = held(spark, tmp_path, "semantic_diffusion")
+    assert got == want and all("-0.0," in row for row in want)
