@@ -167,3 +167,12 @@ def test_batch_trace_equals_single_traces(spark):
     whole = {tuple(r) for r in impact.trace(g.calls, starts).collect()}
     single = {tuple(r) for s in starts.collect() for r in impact.trace(g.calls, spark.createDataFrame([(s.node,)], "node string")).collect()}
     assert whole == single
+
+
+def test_possible_callers_are_counted_before_they_meet_the_nodes(spark):
+    nodes = spark.range(3_000).selectExpr("concat('n', id) as id", "'same' as name", "'function' as kind", "'python' as language")
+    edges = spark.range(6_000).selectExpr("concat('n', id % 2000) as src", "'unresolved:same' as dst", "'calls' as type", "'unresolved' as confidence")
+    found = impact.possible_callers(nodes, edges)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # no row for each pair of a call and a node
+    assert [tuple(r) for r in found.select("callers", "calls").distinct().collect()] == [(2_000, 6_000)] and found.count() == 3_000
