@@ -97,3 +97,31 @@ def test_order_of_rows_does_not_matter(spark):
     nodes, edges = graph(spark, "abcde", [*CHAIN, ("a", "c"), ("e", "a")])
     ask = "MATCH (x)-[:calls*1..2]->(y) RETURN x.name, COUNT(*), COLLECT(y.name) ORDER BY COUNT(*) DESC"
     assert values(query_graph(ask, nodes, edges)) == values(query_graph(ask, nodes.repartition(3, "name"), edges.repartition(2, "dst")))
+
+
+def test_starts_walk_together(spark, monkeypatch):
+    """300 starts, more than one row holds, are a few rows for each node while they walk, and the same pairs at the end."""
+    from strandline.operators import traverse
+
+    written, put = [], traverse.Scratch.put
+
+    def watched(self, name, df):
+        out = put(self, name, df)
+        written.append(out.count() if name.startswith("d") else 0)
+        return out
+
+    monkeypatch.setattr(traverse.Scratch, "put", watched)
+    edges = [(f"s{i}", f"m{j}") for i in range(300) for j in range(3)] + [("m0", "s7"), ("m1", "end"), ("end", "s299"), ("s5", "s5")]
+    frame = spark.createDataFrame(edges, "src string, dst string")
+    starts = spark.createDataFrame([(f"s{i}",) for i in range(300)] * 2, "node string")
+    got = {(r.start, r.node): r.depth for r in reachable(frame, starts, 3).collect()}
+    want = {}
+    for s in {f"s{i}" for i in range(300)}:
+        seen, front = {s}, {s}
+        for depth in (1, 2, 3):
+            front = {d for a, d in edges if a in front} - seen
+            seen |= front
+            want |= {(s, d): depth for d in front}
+    assert got == want and max(written) <= 2 * 305
+    ends = spark.createDataFrame([("end",)], "node string")
+    assert {tuple(r) for r in reachable(frame, starts, 3, keep=ends).collect()} == {(s, "end", d) for (s, n), d in want.items() if n == "end"}
