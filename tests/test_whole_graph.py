@@ -14,3 +14,12 @@ def test_communities_hold_every_part_with_a_call(spark):
     for node, name in found.items():
         least[name] = min(node, least.get(name, node))
     assert all(name == node for name, node in least.items())
+
+
+def test_context_sends_no_nodes_through_the_driver(spark):
+    from strandline.operators import atlas
+    from strandline.queries import _starts
+
+    g = GraphView(spark, SF)
+    plan = atlas.context_ranges(g.parts, g.resolved_calls, _starts(spark, SF, 100))._jdf.queryExecution()
+    assert "strategy=merge" in plan.optimizedPlan().toString() and "SortMergeJoin" in plan.sparkPlan().toString()
