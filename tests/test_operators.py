@@ -190,3 +190,50 @@ def test_documents_of_the_same_tokens_share_a_vector(spark):
     assert set(found) == {1, 2, 3, 4} and found[1] == found[2] == found[3] != found[4]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")  # vectors are added up for each set of tokens, not for each document
+
+
+def test_moves_are_those_of_one_node_at_a_time():
+    """Blocks give what the plain loop gives, of which each choice reads all edges."""
+
+    def plain(links, passes=100):
+        n = len(links)
+        community, strength = list(range(n)), [float(sum(x.values())) for x in links]
+        inside, total = list(strength), sum(strength)
+        for _ in range(passes):
+            before = list(community)
+            for i, near in enumerate(links):
+                weights = {}
+                for other, w in near.items():
+                    weights[community[other]] = weights.get(community[other], 0.0) + w
+                own = community[i]
+                inside[own] -= strength[i]
+                gain = lambda c: weights.get(c, 0.0) - inside[c] * strength[i] / total  # noqa: B023, E731
+                best = min({own, *weights}, key=lambda c: (-gain(c), c))  # noqa: B023
+                community[i] = best if gain(best) > gain(own) + 1e-12 else own
+                inside[community[i]] += strength[i]
+            if community == before:
+                break
+        return community
+
+    draw = np.random.default_rng(7)
+    for n, many, most in ((3, 12, 1), (40, 90, 1), (700, 3000, 3), (1500, 12000, 2)):
+        links = [{} for _ in range(n)]
+        for a, b, w in zip(draw.integers(0, n, many).tolist(), draw.integers(0, n, many).tolist(), draw.integers(1, most + 1, many).tolist(), strict=True):
+            if a != b:
+                links[a][b] = links[b][a] = links[a].get(b, 0.0) + w
+        links = [dict(sorted(x.items())) for x in links]
+        starts = np.cumsum([0] + [len(x) for x in links])
+        ends, weight = np.array([b for x in links for b in x], dtype=np.int64), np.array([w for x in links for w in x.values()], dtype=float)
+        assert rank.move_locally(starts, ends, weight).tolist() == plain(links), n
+
+
+def test_components_read_all_edges_once(spark, monkeypatch):
+    """A path in shuffled order, a star around a large node, a pair and a lone node; a path of 600 nodes takes one round."""
+    links = [(f"p{a:03d}", f"p{a + 1:03d}") for a in range(599)] + [("z", f"s{i}") for i in range(9)] + [("y1", "y0"), ("y0", "y0")]
+    nodes = sorted({x for e in links for x in e} | {"lone"})
+    written = []
+    put = rank.Scratch.put
+    monkeypatch.setattr(rank.Scratch, "put", lambda self, name, df: written.append(name) or put(self, name, df))
+    found = {r.node: r.component for r in rank.components(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([(n,) for n in nodes], "node string")).collect()}
+    assert found == {n: "p000" if n[0] == "p" else "s0" if n[0] in "sz" else "y0" if n[0] == "y" else "lone" for n in nodes}
+    assert [x for x in written if x[0] == "l"] == ["l0", "l1", "l2"]
