@@ -145,3 +145,13 @@ def test_references(spark, graph):
     assert [r.iri for r in rdf.rank_candidates(terms).collect()] == ["http://x/A", "http://y/B", "http://z#B"]
     grouped = rdf.grouped_by_file(rdf.trace_term(terms, refs, "t1", True)).collect()
     assert {r.file: len(r.places) for r in grouped} == {"v.ttl": 1, "a.ts": 2}
+
+
+def test_candidates_are_cut_before_the_driver(spark):
+    """However many tasks there are, at most GROUPS of them send candidates to the driver."""
+    rows = [(f"f{i % 7}", i, i * 37 % 101) for i in range(900)]
+    scored = spark.createDataFrame(rows, "file string, line int, score int").repartition(40)
+    found = search.candidates(scored, 50)
+    assert [tuple(r) for r in found.collect()] == sorted(rows, key=lambda r: (-r[2], r[0], r[1]))[:50]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" in plan and search.emit_hits(scored, 2) == search.emit_hits(spark.createDataFrame(rows, scored.schema), 2)
