@@ -23,3 +23,14 @@ def test_context_sends_no_nodes_through_the_driver(spark):
     g = GraphView(spark, SF)
     plan = atlas.context_ranges(g.parts, g.resolved_calls, _starts(spark, SF, 100))._jdf.queryExecution()
     assert "strategy=merge" in plan.optimizedPlan().toString() and "SortMergeJoin" in plan.sparkPlan().toString()
+
+
+def test_lines_meet_ranges_without_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import intervals
+
+    parts = GraphView(spark, SF).parts
+    lines = parts.select("file", F.explode(F.sequence("start_line", "end_line")).alias("line"))
+    plan = intervals._in_ranges(lines, parts.select("file", "start_line", "end_line", "id"))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
