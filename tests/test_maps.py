@@ -163,3 +163,21 @@ def test_diffusion_makes_one_row_for_each_edge(spark):
     moved = {r.id: list(r.vector) for r in found.collect()}
     assert moved == {1: pytest.approx([1 + 0.18 * 2, 0.18 * 2]), 2: pytest.approx([0.18, 2.0]), 3: pytest.approx([4.18])}
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_symbols_of_a_line_that_comes_again(spark):
+    """Copies of a line, or of a symbol's range, neither multiply nor crowd out the symbols around it."""
+    own = [("f", 1, 9, "a", "outer"), *[("f", 4, 6, f"s{i}", "inner") for i in range(9)]]
+    nodes = spark.createDataFrame([(*r[:4], r[4], "function", r[4]) for r in own], "file string, start_line int, end_line int, id string, name string, kind string, signature string")
+    lines = spark.createDataFrame([("f", 5, "x"), ("f", 5, "x"), ("f", 2, "y")], "file string, line int, text string")
+    got = [(r.line, list(r.symbol_ids)) for r in search.with_symbols(search.indexed(lines), nodes).orderBy("line").collect()]
+    assert got == [(2, ["a"]), (5, ["s0", "s1", "s2"]), (5, ["s0", "s1", "s2"])]
+
+
+def test_code_index_is_that_of_its_lines(spark):
+    from strandline import code_queries
+    from strandline.sources.graph_view import GraphView
+
+    g = GraphView(spark, "/root/testdata/sf0.001")
+    rows = [sorted((r.file, r.line, r.text, tuple(r.tokens), r.length) for r in x.collect()) for x in (code_queries._code_index(g), search.indexed(code_queries._code_lines(g)))]
+    assert rows[0] == rows[1] and rows[0]
