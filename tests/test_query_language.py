@@ -125,3 +125,14 @@ def test_starts_walk_together(spark, monkeypatch):
     assert got == want and max(written) <= 2 * 305
     ends = spark.createDataFrame([("end",)], "node string")
     assert {tuple(r) for r in reachable(frame, starts, 3, keep=ends).collect()} == {(s, "end", d) for (s, n), d in want.items() if n == "end"}
+
+
+def test_a_walk_lets_go_of_its_shuffle_files(spark, monkeypatch):
+    """Each round that goes on has freed what the rounds before wrote, and the pairs are those of any walk."""
+    from strandline.runtime import Scratch
+
+    freed = []
+    monkeypatch.setattr(Scratch, "free", lambda self: freed.append(1))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    found = reachable(edges, spark.createDataFrame([("a",)], "node string"), 3)
+    assert {(r.node, r.depth) for r in found.collect()} == {("b", 1), ("c", 2), ("d", 3)} and len(freed) == 4
