@@ -237,3 +237,13 @@ def test_components_read_all_edges_once(spark, monkeypatch):
     found = {r.node: r.component for r in rank.components(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([(n,) for n in nodes], "node string")).collect()}
     assert found == {n: "p000" if n[0] == "p" else "s0" if n[0] in "sz" else "y0" if n[0] == "y" else "lone" for n in nodes}
     assert [x for x in written if x[0] == "l"] == ["l0", "l1", "l2"]
+
+
+def test_communities_keep_each_edge_once(spark, monkeypatch):
+    written = {}
+    put = rank.Scratch.put
+    monkeypatch.setattr(rank.Scratch, "put", lambda self, name, df: written.setdefault(name, put(self, name, df)))
+    edges = spark.createDataFrame([("b", "a", 1.0), ("a", "b", 2.0), ("c", "b", 1.0), ("c", "c", 5.0)], "src string, dst string, weight double")
+    found = {r.node: r.community for r in rank.communities(edges).collect()}
+    assert set(found) == {"a", "b", "c"}
+    assert sorted(tuple(r) for r in written["edges"].collect()) == [("a", "b", 3.0), ("b", "c", 1.0)]
