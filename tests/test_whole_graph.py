@@ -34,3 +34,15 @@ def test_lines_meet_ranges_without_the_driver(spark):
     lines = parts.select("file", F.explode(F.sequence("start_line", "end_line")).alias("line"))
     plan = intervals._in_ranges(lines, parts.select("file", "start_line", "end_line", "id"))._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_symbols_are_inspected_on_calls_that_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import atlas
+    from strandline.queries import _starts
+
+    g = GraphView(spark, SF)
+    assert "Window" in g.calls._jdf.queryExecution().optimizedPlan().toString()
+    found = atlas.inspect_symbols(g.parts, g.calls, _starts(spark, SF, 100), F.col("is_test"))
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
